@@ -18,6 +18,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", F.col("n_shingles"), "component_id", "n_links")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -39,6 +45,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.col("__hits.n_words").alias("n_words"), d.n_hit().alias("n_hit"), F.size("__hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join("__hits.items", ","), 256).alias("items_sha256"), d.contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op6_toxicity, op8_sentencepiece, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_jaccard, op6_toxicity, op8_sentencepiece, op9_decontamination)}
 
 SQL: dict[str, str] = {}
