@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, toxicity
+from millrace.llm import bpe, decontaminate, jaccard, pii, toxicity
 from millrace.llm.queries import table, tokenizer_path
 from millrace.llm.store import materialize
 
@@ -13,15 +13,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs, k=5, num=80, den=100)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs, pii.learn(docs))
+
+
 def add_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.add_counts(docs, tokenizer_path())
 
 
-STAGES = [("toxicity", drop_toxic), ("decontamination", drop_contaminated), ("token ids", add_token_ids)]
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("decontamination", drop_contaminated), ("personal data", redact), ("token ids", add_token_ids)]
 
 ORACLE_SQL = None
 

@@ -24,6 +24,15 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", F.col("n_shingles"), "component_id", "n_links")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(documents, pii.learn(documents))
+    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.written("__base"), 256).alias("base_sha256"), pii.written("__spans").alias("spans"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -45,6 +54,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.col("__hits.n_words").alias("n_words"), d.n_hit().alias("n_hit"), F.size("__hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join("__hits.items", ","), 256).alias("items_sha256"), d.contaminated().alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op6_toxicity, op8_sentencepiece, op9_decontamination)}
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urls
+
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_jaccard, op4_pii, op6_toxicity, op8_sentencepiece, op9_decontamination, op10_urls)}
 
 SQL: dict[str, str] = {}
