@@ -71,6 +71,12 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard, op3_chat, op4_pii, op6_toxicity, op8_sentencepiece, op9_decontamination, op10_urls)}
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.extract(table(spark, sf_dir, "pages"), html.learn())
+
+
+QUERIES = {f.__name__: f for f in (op2_jaccard, op3_chat, op4_pii, op6_toxicity, op7_html, op8_sentencepiece, op9_decontamination, op10_urls)}
 
 SQL: dict[str, str] = {}
