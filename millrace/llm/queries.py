@@ -83,6 +83,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents")).withColumn("id", F.col("id").cast("bigint")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_jaccard, op3_chat, op4_pii, op6_toxicity, op7_html, op8_sentencepiece, op9_decontamination, op10_urls)}
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_tree
+
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_jaccard, op3_chat, op4_pii, op5_suffix_tree, op6_toxicity, op7_html, op8_sentencepiece, op9_decontamination, op10_urls)}
 
 SQL: dict[str, str] = {}
