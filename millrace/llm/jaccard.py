@@ -139,7 +139,7 @@ def _sketch(k: int, num: int, den: int, buckets: int):
                         s2 = int(np.add.reduce(mix(tokens ^ np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64).view(np.int64)) if n else 0
                     rid = base + flushes * _PART + used
                     rep = first.setdefault((n, s1, s2), rid) if n else rid
-                    rows.append((int(s1 % buckets), rid, rep, n, s1, s2))
+                    rows.append((rid % buckets, rid, rep, n, s1, s2))
                     if rep == rid and n:
                         own = levels.signatures(tokens)
                         if len(own):
@@ -342,7 +342,8 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     large = member.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("total")).filter("size > 1").select("g", F.ceil(F.col("total") / block_shingles).cast("int").alias("q"))
     tasks = member.join(large, "g").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("q")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     tasks = tasks.select("g", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "block", "copies", "doc_id", "th")
-    texts = source.alias("s").join(tasks.alias("t"), F.expr("s.th = t.th and s.doc_id <=> t.doc_id")).select("t.g", "t.low", "t.high", "t.cid", "t.block", "t.copies", "s.text")
+    # Merged at every size: the members grow with the documents, so they are never broadcast.
+    texts = source.alias("s").join(tasks.hint("merge").alias("t"), F.expr("s.th = t.th and s.doc_id <=> t.doc_id")).select("t.g", "t.low", "t.high", "t.cid", "t.block", "t.copies", "s.text")
     texts = texts.repartition(buckets // 8, "g", "low", "high").sortWithinPartitions("g", "low", "high", "cid")
     links = materialize(texts.mapInArrow(_verify(k, num, den), "a bigint, b bigint, links bigint"), "jaccard-links")
     del texts
@@ -366,5 +367,5 @@ def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     found = join(documents, doc_id=doc_id, text=text, **options)
     kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "th")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")).distinct()
     keyed = documents.withColumns({"__key": F.col(f"`{doc_id}`").cast("bigint"), "__hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    out = keyed.join(kept, F.expr("__hash = __th and __key <=> __id"), "left_semi").dropDuplicates(["__key", "__hash"])
+    out = keyed.join(kept.hint("merge"), F.expr("__hash = __th and __key <=> __id"), "left_semi").dropDuplicates(["__key", "__hash"])
     return out.select(*(F.col(f"`{c}`") for c in documents.columns))
