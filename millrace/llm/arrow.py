@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,16 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").alias(alias) for alias, name in columns.items()))
 
 
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most so many rows, so that what Python holds of a batch stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
+def ddl(df: DataFrame, names: list[str]) -> str:
+    """Columns of a table as a schema text."""
+    return ", ".join(f"`{name}` {df.schema[name].dataType.simpleString()}" for name in names)
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pick, strings
+from .arrow import ddl, pick, slices, strings
 
 SPACE = "▁"
 CACHE_ENTRIES = 400_000
@@ -303,11 +303,9 @@ def encode(documents: DataFrame, model_path: str, *, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_path)
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                ids = [bpe.encode(t) for t in strings(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        for part in slices(batches):
+            ids = [bpe.encode(t) for t in strings(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     source = pick(documents, doc_id=doc_id, text=text)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
@@ -318,7 +316,7 @@ def digests(documents: DataFrame, model_path: str, *, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_path)
-        for b in batches:
+        for b in slices(batches):
             rows = [(n, _sha(ids), _sha(decoded)) for n, ids, decoded in map(bpe.digest, strings(b.column(1)))]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -331,15 +329,13 @@ def digests(documents: DataFrame, model_path: str, *, doc_id: str = "doc_id", te
 def add_counts(documents: DataFrame, model_path: str, *, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
     """The documents with all their columns, the ids and their number; a column that already has such a name is replaced."""
     names = [c for c in documents.columns if c not in (ids, n_tokens)]
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_path)
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                found = [bpe.encode(t) for t in strings(part.column(len(names)))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(found, pa.list_(pa.int32())), pa.array([len(i) for i in found], pa.int64())], [*names, ids, n_tokens])
-
-    source = documents.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return source.mapInArrow(run, f"{schema}, `{ids}` array<int>, `{n_tokens}` bigint")
+        for b in slices(batches):
+            found = [bpe.encode(t) for t in strings(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32())), pa.array([len(i) for i in found], pa.int64())], [*names, ids, n_tokens])
+
+    source = documents.select(*(F.col(f"`{c}`") for c in names))
+    return source.mapInArrow(run, f"{ddl(source, names)}, `{ids}` array<int>, `{n_tokens}` bigint")

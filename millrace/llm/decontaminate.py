@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pick
+from .arrow import ddl, pick, slices
 from .words import ALNUM, Words, mix, words
 
 SHINGLE = 3
@@ -156,13 +156,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _HITS_TYPE = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
-def _annotate(windows: Windows, index: dict) -> Callable:
+def _annotate(windows: Windows, index: dict, text: str, names_out: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1024):
             names = b.schema.names
             before = b.column(names.index("__hits")).to_pylist() if "__hits" in names else [None] * b.num_rows
             hits: list[dict] = []
-            for first, w in words(b.column(names.index("__text")), ALNUM):
+            for first, w in words(b.column(names.index(text)), ALNUM):
                 n = np.diff(w.first).tolist()
                 spans: dict[int, list] = {}
                 items: dict[int, set] = {}
@@ -177,26 +177,25 @@ def _annotate(windows: Windows, index: dict) -> Callable:
                         own = own + [(s["start"], s["end"]) for s in old["spans"]]
                         ids = ids | set(old["items"])
                     hits.append({"n_words": n[i], "spans": [{"start": s, "end": e} for s, e in _merge(own)], "items": sorted(ids)})
-            keep = [i for i, name in enumerate(names) if name != "__hits"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(hits, _HITS_TYPE)], [*(names[i] for i in keep), "__hits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(name)) for name in names_out), pa.array(hits, _HITS_TYPE)], [*names_out, "__hits"])
 
     return run
 
 
-def annotate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
-    """The documents, with __text (their text) and __hits (HITS): the number of words, merged spans of hit words, and the items hit, sorted as strings."""
+def annotate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
+    """The documents' columns, or those to keep, and __hits (HITS): the number of words, merged spans of hit words, and the items hit, sorted as strings."""
     items = pick(benchmark, id=item_id, text=item_text).select(F.col("id").cast("string").alias("id"), "text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes)
-    out = documents.withColumn("__text", F.col(f"`{text}`"))
+    out, keep = documents, documents.columns if keep is None else keep
     if not blocks:
         blocks = 1
     for block in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
         windows = Windows([(r["id"] or "", r["text"]) for r in own.collect()], window)
         counts = shingle_counts(documents, text, {width: windows.keys(width) for width in windows.widths}) if windows.words else {}
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "__hits") + f", __hits {HITS}"
-        out = out.mapInArrow(_annotate(windows, windows.prefix_index(counts)), schema)
+        names = keep if block == blocks - 1 else documents.columns
+        out = out.mapInArrow(_annotate(windows, windows.prefix_index(counts), text, names), f"{ddl(documents, names)}, __hits {HITS}")
     return out
 
 

@@ -50,7 +50,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate as d
 
-    hits = d.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hits = d.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return hits.select("doc_id", F.col("__hits.n_words").alias("n_words"), d.n_hit().alias("n_hit"), F.size("__hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join("__hits.items", ","), 256).alias("items_sha256"), d.contaminated().alias("contaminated"))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pick, strings
+from .arrow import ddl, pick, slices, strings
 from .store import materialize
 
 # Letters of other scripts that look like Latin ones, and usual substitutions.
@@ -131,7 +131,7 @@ def sample(documents: DataFrame, labels: DataFrame, *, doc_id: str, text: str, l
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, family) of toxic documents."""
-    for b in batches:
+    for b in slices(batches):
         terms, families = [], []
         for text in strings(b.column(0)):
             words = set(fold(text).split())
@@ -149,7 +149,7 @@ def _found(terms: list[str]):
         for t in terms:
             automaton.add_word(t, t)
         automaton.make_automaton()
-        for b in batches:
+        for b in slices(batches):
             found, families = [], []
             for text in strings(b.column(0)):
                 folded = fold(text)
@@ -167,7 +167,7 @@ def _contexts(lexicon: Lexicon):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.matcher()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for toxic, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 folded = fold(text)
@@ -233,19 +233,20 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     return lexicon
 
 
-def _apply(documents: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """The kept columns, __by_sum, __by_length and __score of the column `text`."""
+def _apply(documents: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns, __by_sum, __by_length and __score of the text column."""
+    names = keep if text in keep else [*keep, text]
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.matcher()
-        for b in batches:
-            found = [lexicon.features(automaton, t) for t in strings(b.column(b.num_columns - 1))]
+        for b in slices(batches):
+            found = [lexicon.features(automaton, t) for t in strings(b.column(at))]
             sums, rates = [x[0] for x in found], [x[1] for x in found]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.float64()), pa.array(rates, pa.float64()), pa.array([lexicon.score(*x) for x in found], pa.float64())], [*keep, "__by_sum", "__by_length", "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(sums, pa.float64()), pa.array(rates, pa.float64()), pa.array([lexicon.score(*x) for x in found], pa.float64())], [*keep, "__by_sum", "__by_length", "__score"])
 
-    source = documents.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return source.mapInArrow(run, f"{schema}, __by_sum double, __by_length double, __score double")
+    source = documents.select(*(F.col(f"`{c}`") for c in names))
+    return source.mapInArrow(run, f"{ddl(source, keep)}, __by_sum double, __by_length double, __score double")
 
 
 def score(documents: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,5 +257,4 @@ def score(documents: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id", tex
 def reject(documents: DataFrame, lexicon: Lexicon, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The documents with a score below the threshold, with all their columns."""
     names = documents.columns
-    source = documents if text == "text" else documents.withColumn("text", F.col(f"`{text}`"))
-    return _apply(source, lexicon, names).filter(F.col("__score") < threshold).select(*(F.col(f"`{c}`") for c in names))
+    return _apply(documents, lexicon, names, text).filter(F.col("__score") < threshold).select(*(F.col(f"`{c}`") for c in names))
