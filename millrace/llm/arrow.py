@@ -5,12 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch; executors hold several at once, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to BATCH_BYTES, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under internal names; every other column, whatever its name, is left out."""
+    """Only the named columns, under internal names; every other column, whatever its name, is left out.  The session's Arrow batches get small."""
+    small_batches(df.sparkSession)
     return df.select(*(F.col(f"`{name}`").alias(alias) for alias, name in columns.items()))
 
 

@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import ddl, pick, slices, strings
+from .arrow import ddl, pick, slices, small_batches, strings
 
 SPACE = "▁"
 CACHE_ENTRIES = 400_000
@@ -328,6 +328,7 @@ def digests(documents: DataFrame, model_path: str, *, doc_id: str = "doc_id", te
 
 def add_counts(documents: DataFrame, model_path: str, *, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
     """The documents with all their columns, the ids and their number; a column that already has such a name is replaced."""
+    small_batches(documents.sparkSession)
     names = [c for c in documents.columns if c not in (ids, n_tokens)]
     at = names.index(text)
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,7 +43,8 @@ HOMOGLYPHS = str.maketrans("асеорхуіјѕԁһкмтвнгαεικνορτ
 SUBSTITUTES = str.maketrans("0134578@$!|+", "oieastbasilt")
 
 _LEET = re.compile(r"\S*[0134578@$!|+]\S*")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+# A single $ or @ in front may stand for a letter.
+_EDGES = re.compile(r"^(?:[\W_]{2,}|[^\w@$])|[\W_]+$")
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -62,14 +64,7 @@ def fold(text: str) -> str:
 
 def _family(words: list[str]) -> int:
     """The same for most near copies: the smallest hash of a word."""
-    return int(min((pa_hash(w) for w in set(words)), default=0))
-
-
-def pa_hash(word: str) -> int:
-    import zlib
-
-    data = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data) << 31 ^ zlib.adler32(data)
+    return min((zlib.crc32(d) << 31 ^ zlib.adler32(d) for d in {w.encode("utf-8", "surrogatepass") for w in words}), default=0)
 
 
 @dataclass
