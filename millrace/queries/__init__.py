@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from ..catalog import TABLES
+from . import files_and_functions
 from .own_sql import DIALECT, FRAMES, dialect_query
 from .shared_sql import SHARED
 
 
+FRAMES = FRAMES | files_and_functions.FRAMES
+
+
 def _plain(sql: str) -> str:
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
