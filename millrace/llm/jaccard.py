@@ -25,7 +25,9 @@ a null id never names a component unless all ids of the component are null.
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -314,10 +316,10 @@ def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def _tidy(spark) -> None:
     """Lets Spark's cleaner remove shuffle files of finished steps before the next ones are written."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, block_shingles: int = 2_000_000) -> DataFrame:
@@ -364,8 +366,16 @@ def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     Documents without words are components of their own and all stay, but fully
     repeated rows among them, equal in id and text, are one document.
     """
+    spark = documents.sparkSession
     found = join(documents, doc_id=doc_id, text=text, **options)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "th")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")).distinct()
+    rows = found.groupBy("component", "doc_id", "th").agg(F.min("rid").alias("rid"), F.count("*").alias("n"))
+    one = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "th", "n")).alias("x"))
+    kept = one.groupBy(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")).agg((F.sum("x.n") > 1).alias("__many"))
+    kept = materialize(kept, "jaccard-kept")
+    del found, rows, one
+    _tidy(spark)
     keyed = documents.withColumns({"__key": F.col(f"`{doc_id}`").cast("bigint"), "__hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    out = keyed.join(kept.hint("merge"), F.expr("__hash = __th and __key <=> __id"), "left_semi").dropDuplicates(["__key", "__hash"])
-    return out.select(*(F.col(f"`{c}`") for c in documents.columns))
+    joined = keyed.join(kept.hint("merge"), F.expr("__hash = __th and __key <=> __id"))
+    # Only fully repeated rows need a second look; the others are not shuffled again.
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    return joined.filter("not __many").select(*names).unionAll(joined.filter("__many").dropDuplicates(["__key", "__hash"]).select(*names))
