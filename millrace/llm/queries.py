@@ -91,4 +91,36 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_jaccard, op3_chat, op4_pii, op5_suffix_tree, op6_toxicity, op7_html, op8_sentencepiece, op9_decontamination, op10_urls)}
 
-SQL: dict[str, str] = {}
+_ESCAPED = "replace({x}, '␛', '␛0')"
+for _i, _control in enumerate(("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"), 1):
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '␛{_i}')"
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op3_chat": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        whole AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                   string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS learned,
+                   CAST(sum(22 + length({_ESCAPED.format(x='role')}) + length({_ESCAPED.format(x='text')})) AS BIGINT) AS formatted_chars
+            FROM turns GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM whole""",
+    "op9_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        wins AS (
+            SELECT DISTINCT item_id, l, array_to_string(w[j + 1 : j + l], ' ') AS win
+            FROM (SELECT item_id, w, l, unnest(range(0, len(w) - l + 1)) AS j FROM (SELECT item_id, w, least(13, len(w)) AS l FROM b WHERE len(w) > 0))),
+        places AS (
+            SELECT doc_id, l, j, array_to_string(w[j + 1 : j + l], ' ') AS win
+            FROM (SELECT doc_id, w, l, unnest(range(0, len(w) - l + 1)) AS j FROM d, (SELECT DISTINCT l FROM wins) WHERE len(w) >= l)),
+        hits AS (SELECT doc_id, item_id, l, j FROM places JOIN wins USING (l, win)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + l)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
