@@ -63,7 +63,10 @@ class Levels:
         return (self.den - self.num) * 2 * self.upper[level] // (self.den + self.num)
 
     def segments(self, level: int) -> tuple[np.ndarray, int]:
-        """(inner bounds of the segments, spare ones): a set with at most `spare` empty segments agrees with a similar one in a segment that is not empty."""
+        """(inner bounds of the segments, spare ones): a set with at most `spare` empty segments agrees with a similar one in a segment that is not empty.
+
+        What is said of empty segments holds of all that are known to be common: see `signatures`.
+        """
         if level not in self._segments:
             least = self.upper[level] * (self.num / self.den) ** 2
 
@@ -79,11 +82,19 @@ class Levels:
             self._segments[level] = bounds, spare
         return self._segments[level]
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """List keys of a sorted set."""
+    def signatures(self, tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """List keys of a sorted set.
+
+        Segments with common shingles only, or none, give no key, unless the set has
+        more of them than are to spare; a similar set then either has a key of another
+        segment in which both agree, or gives all of its keys too.
+        """
         total = np.zeros(len(tokens) + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(mix(tokens), out=total[1:])
+        rare = np.zeros(len(tokens) + 1, np.int64)
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        np.cumsum(common[at] != tokens if len(common) else np.ones(len(tokens), bool), out=rare[1:])
         out = []
         own = self.of(len(tokens))
         for level in (own, own + 1):
@@ -95,8 +106,8 @@ class Levels:
             cut[1:-1] = np.searchsorted(tokens, bounds)
             with np.errstate(over="ignore"):
                 keys = mix((total[cut[1:]] - total[cut[:-1]]) + np.arange(len(cut) - 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level) * np.uint64(0xC2B2AE3D27D4EB4F))
-            full = cut[1:] > cut[:-1]
-            out.append(keys if len(full) - np.count_nonzero(full) > spare else keys[full])
+            telling = rare[cut[1:]] > rare[cut[:-1]]
+            out.append(keys if len(telling) - np.count_nonzero(telling) > spare else keys[telling])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -104,7 +115,48 @@ _OUT = pa.schema([("bucket", pa.int32()), ("rid", pa.int64()), ("rep", pa.int64(
 _OUT_DDL = "bucket int, rid bigint, rep bigint, doc_id bigint, th bigint, n bigint, s1 bigint, s2 bigint, blob binary"
 
 
-def _sketch(k: int, num: int, den: int, buckets: int):
+def _common(k: int, share: float):
+    """(shingle, n) of shingles that many of a task's documents hold; rare ones are dropped whenever the table grows large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, docs, new, held, floor = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0, 1
+
+        def fold() -> None:
+            nonlocal keys, counts, new, held, floor
+            found, at = np.unique(np.concatenate([keys, *new]), return_inverse=True)
+            weights = np.concatenate([counts, np.ones(held, np.int64)])
+            keys, counts, new, held = found, np.bincount(at, weights, minlength=len(found)).astype(np.int64), [], 0
+            while len(keys) > 1 << 20:
+                floor += 1
+                keys, counts = keys[counts >= floor], counts[counts >= floor]
+
+        for b in batches:
+            for _, w in words(b.column(0), BLANKS):
+                docs += len(w)
+                for i in range(len(w)):
+                    new.append(np.unique(shingles(w.row(i), k)))
+                    held += len(new[-1])
+                if held > 1 << 20:
+                    fold()
+        if held:
+            fold()
+        seen = counts >= max(2, share * docs)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[seen].view(np.int64)), pa.array(counts[seen])], ["shingle", "n"])
+
+    return run
+
+
+def common_shingles(texts: DataFrame, k: int, share: float) -> np.ndarray:
+    """Sorted shingles that at least about `share` of all documents hold: at most a document's mean number of shingles / share.
+
+    They only steer which lists are made; answers do not depend on them.
+    """
+    counts = texts.mapInArrow(_common(k, share), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    least = max(4.0, share * texts.count())
+    return np.sort(counts.filter(F.col("n") >= least).select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _sketch(k: int, num: int, den: int, buckets: int, common: np.ndarray):
     """Rows for documents, and packed lists by bucket (a range of list keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +195,7 @@ def _sketch(k: int, num: int, den: int, buckets: int):
                     rep = first.setdefault((n, s1, s2), rid) if n else rid
                     rows.append((rid % buckets, rid, rep, n, s1, s2))
                     if rep == rid and n:
-                        own = levels.signatures(tokens)
+                        own = levels.signatures(tokens, common)
                         if len(own):
                             keys.append(own)
                             owners.append((used, len(own)))
@@ -322,7 +374,7 @@ def _tidy(spark) -> None:
         time.sleep(0.5)
 
 
-def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, block_shingles: int = 2_000_000) -> DataFrame:
+def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, block_shingles: int = 2_000_000, common_share: float = 1 / 2000) -> DataFrame:
     """rid (a row's own number), doc_id, th (hash of the text), n_shingles, component (a number), component_id (its smallest doc_id) and n_links (documents that the row links with) of every row.
 
     Sets link when den * intersection >= num * union.  Ids are cast to bigint.
@@ -330,7 +382,8 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     spark = documents.sparkSession
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = pick(documents, doc_id=doc_id, text=text).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    sketched = source.mapInArrow(_sketch(k, num, den, buckets), _OUT_DDL).repartition(buckets // 8, "bucket").mapInArrow(_meet, _OUT_DDL.split("int, ", 1)[1].rsplit(",", 1)[0])
+    common = common_shingles(source.select("text"), k, common_share)
+    sketched = source.mapInArrow(_sketch(k, num, den, buckets, common), _OUT_DDL).repartition(buckets // 8, "bucket").mapInArrow(_meet, _OUT_DDL.split("int, ", 1)[1].rsplit(",", 1)[0])
     met = materialize(sketched, "jaccard-sets")
     del sketched
     _tidy(spark)
