@@ -10,9 +10,12 @@ table on the driver, written as one SQL expression, and applied where the
 candidates are.  A kind's threshold is the lowest score from which the
 candidates have the wanted precision against their weak labels.
 
-Weak labels: a secret candidate is positive if a cue (`token =`, `key:`, ...) stands
-just before it, and neither cue nor label is a feature of secrets; a card- or
-phone-like candidate is positive if a cue of its kind stands before it.
+Weak labels, none of which is a feature: a candidate is positive if a cue of its
+kind (`token =`, `card`, `tel`, ...) stands just before it, a card-like one also if
+it passes Luhn's check, a phone-like one also if it belongs to a number with a
+plus.  The trees see format and the kind of character before the candidate, and so
+carry labels over to candidates without any.  A card- or phone-like candidate with
+a cue is a span by that rule; the trees decide the others, and all secrets.
 
 Positions are code points, ends exclusive.  Patterns never try a run from
 within, so that their time is linear in the text.
@@ -115,7 +118,7 @@ def matches(text: Column, kind: str) -> Column:
 
 # ---- features: each has few values, so that combinations can be counted
 
-FEATURES = {"kind": len(ADDED), "size": 8, "digits": 6, "letters": 3, "turns": 6, "quoted": 2, "luhn": 2, "cue": 2}
+FEATURES = {"kind": len(ADDED), "size": 8, "digits": 6, "letters": 3, "turns": 6, "quoted": 2, "marks": 5, "near": 4}
 FEATURE_BOUND = math.prod(FEATURES.values()) * 2
 
 
@@ -126,6 +129,15 @@ def _features(kind: str, m: Column, text: Column) -> Column:
     digits = F.length(_digits(s))
     cue = before.rlike(_CUES[kind])
     upper, lower = s.rlike("[A-Z]"), s.rlike("[a-z]")
+    label = cue
+    if kind == "card_like":
+        label = cue | luhn(_digits(s))
+    elif kind == "phone_like":
+        label = cue | before.rlike(r"\+[0-9][\x20().0-9-]*$")
+        # What is before a number with a plus, not the plus, is its context.
+        before = F.regexp_replace(before, r"\+[0-9][\x20().0-9-]*$", "")
+    marks = F.array_distinct(F.filter(F.split(F.regexp_replace(s, "[0-9()]", ""), ""), lambda c: c != ""))
+    first = F.get(marks, F.lit(0))
     turns = F.size(F.split(s, "(?<=[0-9])(?=[A-Za-z])")) - 1
     return F.struct(
         F.lit(ADDED.index(kind)).alias("kind"),
@@ -134,9 +146,10 @@ def _features(kind: str, m: Column, text: Column) -> Column:
         F.when(upper & lower, 2).when(upper | lower, 1).otherwise(0).alias("letters"),
         F.least(F.lit(5), turns).alias("turns"),
         before.rlike("[\"']$").cast("int").alias("quoted"),
-        (F.when(F.length(_digits(s)).between(13, 19), luhn(_digits(s))).otherwise(False) if kind == "card_like" else F.lit(False)).cast("int").alias("luhn"),
-        (F.lit(0) if kind == "secret" else cue.cast("int")).alias("cue"),
-        cue.cast("int").alias("label"),
+        (F.lit(0) if kind == "secret" else F.when(F.size(marks) > 1, 4).when(first == " ", 1).when(first == "-", 2).when(first == ".", 3).otherwise(0)).alias("marks"),
+        (F.lit(0) if kind == "secret" else F.when(before.rlike(r"\p{L}\s*$"), 1).when(before.rlike(r"[:=#]\s*$"), 2).when(before.rlike(r"\S\s*$"), 3).otherwise(0)).alias("near"),
+        (F.lit(False) if kind == "secret" else cue).alias("cued"),
+        label.cast("int").alias("label"),
         m["start"].alias("start"),
         m["end"].alias("end"),
     )
@@ -213,7 +226,7 @@ class Trees:
         score = F.lit(self.start)
         for tree in self.trees:
             score = score + written(tree)
-        out = F.lit(False)
+        out = x["cued"]
         for kind, least in self.thresholds.items():
             out = out | ((x["kind"] == kind) & (score >= least - 1e-9))
         return out
@@ -234,8 +247,6 @@ def base_spans(text: Column) -> Column:
 
 def added_spans(text: Column, base: Column, trees: Trees) -> Column:
     """Accepted candidates that overlap no base span: by kind, then start."""
-    if not trees.thresholds:
-        return F.array().cast(SPANS)
     kinds = F.array(*map(F.lit, ADDED))
     chosen = F.filter(candidates(text), lambda x: trees.accept(x) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return F.transform(chosen, lambda x: F.struct(F.element_at(kinds, x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))

@@ -62,3 +62,24 @@ def test_redaction_and_cases(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect() if r["text"] is not None) == [(1, "mail [EMAIL] now, call [PHONE]."), (3, ""), (4, "no data"), (4, "no data")]
     assert pii.redact(empty(spark), pii.learn(empty(spark))).count() == 0
     assert pii.with_spans(documents(spark), pii.learn(documents(spark))).count() == 10
+
+
+def test_trees_decide_numbers_without_a_cue(spark):
+    rng = random.Random(7)
+
+    def grouped(ok):
+        while True:
+            d = "".join(rng.choice("0123456789") for _ in range(16))
+            if luhn(d) == ok:
+                return "-".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    rows = [(i, f"paid with {grouped(True)} today") for i in range(300)] + [(1000, f"paid with {grouped(False)} today")]
+    rows += [(2000 + i, f"item {rng.randrange(10**13, 10**14)} in stock") for i in range(300)]
+    rows += [(3000 + i, f"reach us at +1 206-555-{i:04d} now") for i in range(300)] + [(4000, "reach us at 206-555-0199 now"), (4001, "tel: 206 555 0199")]
+    df = documents(spark, rows)
+    trees = pii.learn(df)
+    got = {r["doc_id"]: r["x"] for r in pii.with_spans(df, trees).select("doc_id", pii.written("__spans").alias("x")).collect()}
+    assert got[1000] == "card_like:10:29"
+    assert got[4000] == "phone_like:12:24"
+    assert got[4001] == "phone_like:5:17"
+    assert not any("card_like" in got[2000 + i] for i in range(300))
