@@ -3,8 +3,11 @@
 `canonical` turns records of unlike layouts (prompt and response, instruction
 records, lists of messages, one row a turn) into turns of (turn, role, text): the
 nested field paths of the schema, sorted, are hashed, and the hash selects a
-declarative mapping.  `canonical_json` does the same row by row for JSON texts,
-whose schema is that of their variant value.
+declarative mapping.  Only the paths of the layout are hashed: of the layouts whose
+paths a schema all has, the one with most; null fields and empty lists have any
+type, and other fields do not matter.  `canonical_json` does the same row by row
+for JSON texts, by the schema of their variant value; a record of one turn is one
+turn there.
 
 `render` writes each conversation with a template that marks turns and replaces
 control strings inside roles and texts reversibly, and gives the loss mask as
@@ -15,7 +18,8 @@ Defined results: null texts and roles are empty; turns are ordered by turn (null
 first), then role, then text; repeated rows are turns of their own; a
 conversation is one row, whatever its length, because that is what is asked for;
 rows of a null conversation id are one conversation.  Layouts that no mapping
-knows raise an error (`canonical`) or have null turns (`canonical_json`).
+knows, or that two of the same number of paths fit, raise an error (`canonical`)
+or have null turns (`canonical_json`); a null list has no turns.
 """
 
 from __future__ import annotations
@@ -70,7 +74,7 @@ def fingerprint(found: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-#: Field paths of a layout, and its turns as (role or a path to it, path to the text); "list" layouts give the list, and the fields in it.
+#: Field paths of a layout, and its turns as (role or a path to it, path to the text); "list" layouts give the list, and the fields in it, "turn" layouts the fields of a row.
 LAYOUTS = {
     "prompt": (["prompt:text", "response:text"], [("user", "prompt"), ("assistant", "response")]),
     "completion": (["prompt:text", "completion:text"], [("user", "prompt"), ("assistant", "completion")]),
@@ -80,8 +84,24 @@ LAYOUTS = {
     "system prompt": (["system:text", "prompt:text", "response:text"], [("system", "system"), ("user", "prompt"), ("assistant", "response")]),
     "messages": (["messages[].role:text", "messages[].content:text"], {"list": "messages", "role": "role", "text": "content"}),
     "conversations": (["conversations[].from:text", "conversations[].value:text"], {"list": "conversations", "role": "from", "text": "value"}),
+    "row a turn": (["turn:number", "role:text", "text:text"], {"turn": "turn", "role": "role", "text": "text"}),
 }
 BY_PRINT = {fingerprint(found): turns for found, turns in LAYOUTS.values()}
+
+
+def layout_print(found: list[str]) -> str | None:
+    """The fingerprint of the layout that fits the paths."""
+    given = dict(p.rsplit(":", 1) for p in found)
+
+    def fits(path: str) -> bool:
+        name, kind = path.rsplit(":", 1)
+        whole = name.partition("[]")[0]
+        return given.get(name) in (kind, "void") or "[]" in name and "void" in (given.get(whole), given.get(whole + "[]"))
+
+    fit = sorted((own for own, _ in LAYOUTS.values() if all(map(fits, own))), key=len)
+    return fingerprint(fit[-1]) if fit and (len(fit) == 1 or len(fit[-2]) < len(fit[-1])) else None
+
+
 # Other names of the three roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "question": "user", "answer": "assistant"}
 
@@ -95,6 +115,8 @@ def role_name(role: Column) -> Column:
 
 def _turns(mapping, get, items) -> Column:
     """Turns by a mapping; get(path) is a text, items(path, fields) a list of structs of texts."""
+    if "turn" in mapping:
+        return F.array(F.struct(F.coalesce(get(mapping["role"]), F.lit("")).alias("role"), F.coalesce(get(mapping["text"]), F.lit("")).alias("text")))
     if isinstance(mapping, dict):
         return F.transform(items(mapping["list"], (mapping["role"], mapping["text"])), lambda x: F.struct(role_name(x[mapping["role"]]).alias("role"), F.coalesce(x[mapping["text"]], F.lit("")).alias("text")))
     out = []
@@ -109,34 +131,63 @@ def _turns(mapping, get, items) -> Column:
 def canonical(df: DataFrame, key: str) -> DataFrame:
     """key and turns (TURNS) of a table in one of the layouts; `key` is not part of the layout."""
     rest = T.StructType([f for f in df.schema if f.name != key])
-    mapping = BY_PRINT.get(fingerprint(paths(rest)))
+    mapping = BY_PRINT.get(layout_print(paths(rest)))
     if mapping is None:
         raise ValueError("no mapping for the fields " + ", ".join(sorted(paths(rest))))
-    turns = _turns(mapping, lambda p: F.col(f"`{p}`"), lambda p, _: F.col(f"`{p}`"))
-    return df.select(F.col(f"`{key}`").alias("conv_id"), turns.alias("turns"))
+    if "turn" in mapping:
+        return from_rows(df, conv_id=key, **mapping)
 
+    def items(name: str, fields: tuple[str, ...]) -> Column:
+        kind = "array<struct<" + ",".join(f"`{f}`:string" for f in fields) + ">>"
+        own = F.col(f"`{name}`")
+        if any(p in paths(rest) for p in (f"{name}:void", f"{name}[]:void")):
+            own = own.cast(kind)
+        return F.coalesce(F.transform(own, lambda x: F.struct(*(x[f].cast("string").alias(f) for f in fields))), F.array().cast(kind))
 
-_KIND = {"text": "STRING", "number": "BIGINT"}
+    return df.select(F.col(f"`{key}`").alias("conv_id"), _turns(mapping, lambda p: F.col(f"`{p}`"), items).alias("turns"))
 
 
-def _variant_schema(found: list[str]) -> str:
-    """The schema text that Spark gives for a JSON record of these paths."""
-    plain = sorted(p.partition(":")[0] for p in found)
-    if "[]" not in plain[0]:
-        return "OBJECT<" + ", ".join(f"{p}: STRING" for p in plain) + ">"
-    name = plain[0].partition("[]")[0]
-    return f"OBJECT<{name}: ARRAY<OBJECT<" + ", ".join(f"{p.partition('[].')[2]}: STRING" for p in plain) + ">>>"
+_NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*|VOID)$"
+_KINDS = {"text": "^(STRING|VOID)$", "number": _NUMBER}
+
+
+def _fits(found: list[str]) -> Column:
+    """Whether the record v has the paths; nulls and empty lists have any type."""
+
+    def schema(v: Column, path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))
+
+    out = F.lit(True)
+    for name, _, kind in (p.rpartition(":") for p in found):
+        whole, _, field = name.partition("[].")
+        if not field:
+            out &= F.coalesce(schema(F.col("v"), name).rlike(_KINDS[kind]), F.lit(False))
+            continue
+        items = F.try_variant_get("v", f"$.{whole}", "array<variant>")
+        of_kind = lambda x: F.coalesce(F.schema_of_variant(x).rlike("^(OBJECT|VOID)") & F.coalesce(schema(x, field), F.lit("VOID")).rlike(_KINDS[kind]), F.lit(True))  # noqa: B023, E731
+        good = F.forall(items, of_kind)
+        some = (F.size(items) == 0) | F.exists(items, lambda x: schema(x, field).isNotNull())  # noqa: B023
+        out &= F.coalesce((schema(F.col("v"), whole) == "VOID") | (good & some), F.lit(False))
+    return out
 
 
 def canonical_json(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key, fingerprint (of the row's own schema) and turns of JSON records, each in a layout of its own."""
+    """key, fingerprint (of the layout, else of the row's own schema) and turns of JSON records, each in a layout of its own."""
     value = F.try_parse_json(F.col(f"`{column}`"))
-    rows = df.select(F.col(f"`{key}`").alias("conv_id"), value.alias("v")).withColumn("print", F.sha2(F.schema_of_variant("v"), 256))
+    rows = df.select(F.col(f"`{key}`").alias("conv_id"), value.alias("v"))
+    found = F.array_compact(F.array(*(F.when(_fits(own), F.struct(F.lit(len(own)).alias("n"), F.lit(fingerprint(own)).alias("print"))) for own, _ in LAYOUTS.values())))
+    rows = rows.withColumn("found", found).withColumn("most", F.array_max(F.transform("found", lambda x: x["n"])))
+    rows = rows.withColumn("found", F.filter("found", lambda x: x["n"] == F.col("most")))
+    rows = rows.withColumn("print", F.when(F.size("found") == 1, F.get("found", F.lit(0))["print"]).otherwise(F.sha2(F.schema_of_variant("v"), 256)))
+    get = lambda p: F.try_variant_get("v", f"$.{p}", "string")
+
+    def items(p: str, fields: tuple[str, ...]) -> Column:
+        kind = "array<struct<" + ",".join(f"`{f}`:string" for f in fields) + ">>"
+        one = lambda x: F.struct(*(F.try_variant_get(x, f"$.{f}", "string").alias(f) for f in fields))
+        return F.coalesce(F.transform(F.try_variant_get("v", f"$.{p}", "array<variant>"), one), F.array().cast(kind))
+
     turns = F.lit(None).cast(TURNS)
-    for found, mapping in LAYOUTS.values():
-        own = hashlib.sha256(_variant_schema(found).encode()).hexdigest()
-        get = lambda p: F.try_variant_get("v", f"$.{p}", "string")
-        items = lambda p, fields: F.try_variant_get("v", f"$.{p}", "array<struct<" + ",".join(f"`{f}`:string" for f in fields) + ">>")
+    for own, mapping in BY_PRINT.items():
         turns = F.when(F.col("print") == own, _turns(mapping, get, items)).otherwise(turns)
     return rows.select("conv_id", F.col("print").alias("fingerprint"), turns.alias("turns"))
 

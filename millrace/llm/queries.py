@@ -65,7 +65,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -1L AS conv_id, t AS turn, IF(t = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L), (1L) AS v(t)")
-    out = chat.render(chat.from_rows(rows.union(extra)))
+    out = chat.render(chat.canonical(rows.union(extra), "conv_id"))
     read = out.withColumns({"turns": chat.parse(F.col("formatted")), "learned": chat.masked(F.col("formatted"), F.col("loss"))})
     joined = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))

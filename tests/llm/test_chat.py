@@ -31,3 +31,17 @@ def test_json_rows_choose_their_own_layout(spark):
     rows = [(1, '{"prompt": "q", "response": "a"}'), (2, '{"messages": [{"content": "q", "role": "user"}, {"role": "assistant", "content": "a"}]}'), (3, '{"what": 1}'), (4, None), (5, "not json")]
     got = {r["conv_id"]: r["turns"] and [tuple(x) for x in r["turns"]] for r in chat.canonical_json(spark.createDataFrame(rows, "id INT, js STRING"), "id", "js").collect()}
     assert got == {1: [("user", "q"), ("assistant", "a")], 2: [("user", "q"), ("assistant", "a")], 3: None, 4: None, 5: None}
+
+
+def test_a_row_a_turn_is_a_layout(spark):
+    df = spark.createDataFrame(ROWS, DDL)
+    assert sorted(map(str, chat.canonical(df, "conv_id").collect())) == sorted(map(str, chat.from_rows(df).collect()))
+
+
+def test_nulls_empty_lists_and_other_fields_keep_the_layout(spark):
+    want = [("user", "q"), ("assistant", "a")]
+    rows = [(1, '{"instruction": "q", "input": null, "output": "a"}'), (2, '{"messages": []}'), (3, '{"prompt": "q", "response": "a", "more": {"x": [1]}}'), (4, '{"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}]}'), (5, '{"messages": ["q"]}'), (6, '{"turn": 3, "role": "user", "text": "q"}'), (7, '{"prompt": "q", "response": "a", "completion": "b"}'), (8, '{"conversations": null}')]
+    got = {r["conv_id"]: r["turns"] and [tuple(x) for x in r["turns"]] for r in chat.canonical_json(spark.createDataFrame(rows, "id INT, js STRING"), "id", "js").collect()}
+    assert got == {1: want, 2: [], 3: want, 4: want, 5: None, 6: [("user", "q")], 7: None, 8: []}
+    for sql, turns in (("SELECT 1 AS id, 'q' AS instruction, null AS input, 'a' AS output", want), ("SELECT 1 AS id, array() AS messages, 1 AS more", []), ("SELECT 1 AS id, 'q' AS prompt, 'a' AS response, 5 AS more", want)):
+        assert [tuple(x) for x in chat.canonical(spark.sql(sql), "id").first()["turns"]] == turns
