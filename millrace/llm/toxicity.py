@@ -23,6 +23,8 @@ clean label the score is the smoothed share of toxic labels.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import re
 import zlib
@@ -63,8 +65,10 @@ def fold(text: str) -> str:
 
 
 def _family(words: list[str]) -> int:
-    """The same for most near copies: the smallest hash of a word."""
-    return min((zlib.crc32(d) << 31 ^ zlib.adler32(d) for d in {w.encode("utf-8", "surrogatepass") for w in words}), default=0)
+    """The same for most near copies, and not for unrelated texts: the four smallest hashes of three words in a row, together."""
+    data = {" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 2))}
+    least = heapq.nsmallest(4, (zlib.crc32(d) << 32 | zlib.adler32(d) for d in data))
+    return int.from_bytes(hashlib.blake2b(repr(least).encode(), digest_size=8).digest(), "big", signed=True)
 
 
 @dataclass
@@ -129,13 +133,20 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         terms, families = [], []
         for text in strings(b.column(0)):
-            words = set(fold(text).split())
+            row = fold(text).split()
+            words = set(row)
             own = {f" {w[:n]}" for w in words for n in range(4, len(w) + 1)} | {f" {w} " for w in words if len(w) > 2}
             terms += own
-            families += [_family(words)] * len(own)
+            families += [_family(row)] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(families, pa.int64())], ["term", "family"])
 
 
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, family) of documents."""
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_family(fold(text).split()) for text in strings(b.column(1))], pa.int64())], ["toxic", "family"])
+
+
 def _found(terms: list[str]):
     """(term, family) of documents that hold one of the terms."""
 
@@ -212,6 +223,10 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     prior = math.log((n_pos + 0.5) / (n_neg + 0.5)) if n_pos + n_neg else -2.0
     if not n_pos or not n_neg:
         return Lexicon(bias=prior)
+    # From here on families are counted, as for the terms.
+    families = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(_families, "toxic int, family bigint")
+    of = {r["toxic"]: r["n"] for r in families.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
+    n_pos, n_neg = of.get(1, 0), of.get(0, 0)
     least = max(min_families, math.ceil(min_share * n_pos))
     counted = lambda df: {r["term"]: r["n"] for r in df.groupBy("term").agg(F.count_distinct("family").alias("n")).filter(F.col("n") >= F.lit(1)).collect()}
     pos = {r["term"]: r["n"] for r in rows.filter("toxic > 0").select("text").mapInArrow(_terms, "term string, family bigint").groupBy("term").agg(F.count_distinct("family").alias("n")).filter(F.col("n") >= least).collect()}

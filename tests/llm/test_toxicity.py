@@ -34,3 +34,21 @@ def test_cases(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.reject(documents(spark), lexicon).columns == documents(spark).columns
     assert toxicity.score(empty(spark), toxicity.learn(empty(spark), labels.limit(0))).count() == 0
+
+
+def test_copies_of_one_toxic_text_do_not_hide_rare_terms(spark):
+    filler = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(600)]
+    own = lambda i: " ".join(filler[(i * 37 + k * (i % 17 + 1)) % 600] for k in range(30))
+    texts = [(f"{own(i)} {'grubnik' if i % 50 == 0 else 'vilesort'} {own(i + 7)}", 1) for i in range(600)]
+    texts += [("copied insult everywhere " * 5, 1)] * 3000 + [(own(i + 1000), 0) for i in range(1500)]
+    rows = [(i, text, toxic) for i, (text, toxic) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT")
+    lexicon = toxicity.learn(df, df.select("doc_id", "toxic"))
+    assert any(t.strip() and "grubnik".startswith(t.strip()) for t in lexicon.weights)
+
+
+def test_families_are_of_near_copies_only():
+    words = [f"word{i}" for i in range(300)]
+    assert toxicity._family(words) == toxicity._family([*words, "more"]) or toxicity._family(words) == toxicity._family(["more", *words])
+    assert len({toxicity._family([*words[i:], "a", *words[:i]]) for i in range(0, 300, 50)}) < 6
+    assert len({toxicity._family([words[(i * k) % 300] for k in range(200)]) for i in (1, 7, 11, 13)}) == 4
