@@ -2,9 +2,9 @@
 
 Explicit rules come first.  Where none fits, the length-normalised difference of
 two character models decides.  Both models share their contexts: all strings of
-up to `order` characters that make up at least `least_share` of all strings of
-their length, so that no model has more than (order + 1) / least_share entries
-and may be broadcast.  A character's probability is interpolated from the
+up to `order` characters that make up at least `least_share` of the accepted or of the
+rejected URLs' strings of their length, so that a rare class keeps its own, and no
+model has more than 2 * (order + 1) / least_share entries and may be broadcast.  A character's probability is interpolated from the
 longest kept context down to the uniform distribution; written in logarithms,
 every occurrence of a kept string adds a fixed amount, so that a URL's score is
 a sum over its strings.  The threshold is the one that parts the training URLs
@@ -97,10 +97,12 @@ class Model:
 
 
 def learn(rows: DataFrame, *, order: int = 4, least_share: float = 1e-5) -> Model:
-    """rows: u and rejected (0 or 1).  At most (order + 1) / least_share counts come to the driver."""
-    totals = rows.agg(F.sum(F.length("u"))).first()[0] or 0
-    least = max(2, math.ceil(least_share * totals))
-    counts = _strings(rows, order, ["rejected"]).groupBy("s").agg(F.sum(1 - F.col("rejected")).alias("a"), F.sum("rejected").alias("r")).filter(F.col("a") + F.col("r") >= least)
+    """rows: u and rejected (0 or 1).  At most 2 * (order + 1) / least_share counts come to the driver."""
+    length = F.length("u")
+    totals = rows.agg(F.sum(F.when(F.col("rejected") == 0, length)), F.sum(F.when(F.col("rejected") == 1, length))).first()
+    least_a, least_r = (max(2, math.ceil(least_share * (n or 0))) for n in totals)
+    counts = _strings(rows, order, ["rejected"]).groupBy("s").agg(F.sum(1 - F.col("rejected")).alias("a"), F.sum("rejected").alias("r")).filter((F.col("a") >= least_a) | (F.col("r") >= least_r))
+    # A kept string's starts and ends are at least as frequent in its class, and so are kept.
     return Model([(x["s"], x["a"], x["r"]) for x in counts.orderBy("s").collect()], order)
 
 

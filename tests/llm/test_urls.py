@@ -31,3 +31,8 @@ def test_probabilities_sum_to_one():
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], DDL)).count() == 0
     assert urls.judge(spark.createDataFrame([(1, None), (1, None)], DDL)).count() == 2
+
+
+def test_a_rare_class_keeps_its_own_contexts(spark):
+    rows = spark.createDataFrame([("abcdefghij", 0)] * 1000 + [("zzqq", 1)] * 3, "u STRING, rejected INT")
+    assert {"zq", "zzqq"} <= {s for s, _, _ in urls.learn(rows, least_share=0.01).entries}
