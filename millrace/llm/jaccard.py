@@ -416,12 +416,11 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
 def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with all their columns, one of each component: that with the smallest id, null ids last.
 
-    Documents without words are components of their own and all stay, but fully
-    repeated rows among them, equal in id and text, are one document.
+    Documents without words are components of their own and all stay, also repeated ones.
     """
     spark = documents.sparkSession
     found = join(documents, doc_id=doc_id, text=text, **options)
-    rows = found.groupBy("component", "doc_id", "th").agg(F.min("rid").alias("rid"), F.count("*").alias("n"))
+    rows = found.groupBy("component", "doc_id", "th").agg(F.min("rid").alias("rid"), F.when(F.max("n_shingles") > 0, F.count("*")).otherwise(0).alias("n"))
     one = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "th", "n")).alias("x"))
     kept = one.groupBy(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")).agg((F.sum("x.n") > 1).alias("__many"))
     kept = materialize(kept, "jaccard-kept")

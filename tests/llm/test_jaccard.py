@@ -104,3 +104,9 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 150: 100}
+
+
+def test_rows_without_words_all_stay(spark):
+    rows = [(None, None, "a"), (None, "", "b"), (None, " ", "c"), (None, " ", "d"), (3, "", "e"), (3, "", "e"), (4, "some words that are copied", "f"), (4, "some words that are copied", "f")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    assert sorted(r["lang"] for r in jaccard.keep_one(df).collect()) == ["a", "b", "c", "d", "e", "e", "f"]
