@@ -11,8 +11,8 @@ def terms(text: str) -> F.Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def search(df: DataFrame, key: str, text: str, query: str, *, start: int = 0, window: int = 10) -> DataFrame:
-    """key and score of the rows that hold a query term, best first, ties by key: rows start to start + window.
+def search(df: DataFrame, key: str, text: str, query: str, *, start: int = 0, window: int | None = 10) -> DataFrame:
+    """key and score of the rows that hold a query term, best first, ties by key: rows start to start + window, or to the end if window is None.
 
     Only the query's terms are counted, so nothing is shuffled but one count a
     term and the top rows.
@@ -21,7 +21,8 @@ def search(df: DataFrame, key: str, text: str, query: str, *, start: int = 0, wi
     tf = df.select(F.col(key), terms(text).alias("__terms")).select(key, *(F.size(F.filter("__terms", _equals(t))).alias(f"__{i}") for i, t in enumerate(wanted)))
     counts = tf.agg(F.count("*").alias("n"), *(F.sum((F.col(f"__{i}") > 0).cast("bigint")).alias(f"d{i}") for i in range(len(wanted)))).first()
     score = sum((F.sqrt(F.col(f"__{i}").cast("double")) * F.log(F.lit((1 + counts["n"]) / (1 + (counts[f"d{i}"] or 0)))) for i in range(len(wanted))), F.lit(0.0))
-    return tf.filter(" OR ".join(f"__{i} > 0" for i in range(len(wanted)))).select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).offset(start).limit(window)
+    found = tf.filter(" OR ".join(f"__{i} > 0" for i in range(len(wanted)))).select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).offset(start)
+    return found if window is None else found.limit(window)
 
 
 def _equals(term: str):

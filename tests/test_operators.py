@@ -152,3 +152,13 @@ def test_windows_on_a_stream(spark, tmp_path):
     q.stop()
     assert sorted(r["total"] for r in spark.table("tumbling").collect()) == [3.0, 4.0]
     assert windows.sessions(events, "ts", ["k"], "30 minutes").count() == 2
+
+
+def test_search_without_a_limit(spark):
+    from millrace.queries import own_sql
+    from millrace.sources import search
+
+    df = spark.range(50).selectExpr("id AS doc_id", "'a clown' AS text")
+    out = search.search(df, "doc_id", "text", "clown", window=None)
+    assert out.count() == 50
+    assert "Limit" not in own_sql._search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
