@@ -1,7 +1,11 @@
-"""Tables of a directory, as DataFrames and as views."""
+"""Tables of a directory, as DataFrames and as views; queries of the dialect."""
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -11,9 +15,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A query in the engine's dialect over the directory's tables, written {name}."""
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, parameters: Sequence = ()) -> DataFrame:
+    """A query in the engine's dialect over the directory's tables, written {name}, with values for its ?."""
     from .dialect import rewrite
 
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(rewrite(sql), **used)
+    text = rewrite(sql, parameters)
+    for t in TABLES:
+        if "{" + t + "}" in text:
+            view = f"millrace_{t}_{zlib.crc32(sf_dir.encode()):08x}"
+            table(spark, sf_dir, t).createOrReplaceTempView(view)
+            # An alias of the table's own name, as the text may use it to qualify columns.
+            text = re.sub(r"\{" + t + r"\}", view, text)
+    return execute(spark, text)
+
+
+_NUMBERED = re.compile(r"\bROW_NUMBER\s*\(\s*\)\s*OVER\s*\(\s*\)(?:\s+(?:AS\s+)?(?!FROM\b|AS\b)(\w+|`[^`]+`))?", re.I)
+
+
+def execute(spark: SparkSession, text: str) -> DataFrame:
+    """Spark SQL with the dialect's types, and with ROW_NUMBER() OVER (): each block that has one is numbered in parallel, and read as a view."""
+    from .operators.relational import numbered
+    from .typed import _plain, typed
+
+    count = 0
+    while m := _NUMBERED.search(_plain(text)):
+        m = _NUMBERED.match(text, m.start())
+        plain, a, b, depth = _plain(text), 0, len(text), 0
+        for k in range(m.start() - 1, -1, -1):
+            depth += (plain[k] == ")") - (plain[k] == "(")
+            if depth < 0:
+                a = k + 1
+                break
+        depth = 0
+        for k in range(m.end(), len(text)):
+            depth += (plain[k] == "(") - (plain[k] == ")")
+            if depth < 0:
+                b = k
+                break
+        name = (m[1] or "`row_number`").strip("`")
+        block = f"{text[a : m.start()]}CAST(0 AS BIGINT) AS `{name}`{text[m.end() : b]}"
+        rows = spark.sql(typed(spark, block))
+        out = numbered(rows.drop(name), name, []).select(*(f"`{c}`" for c in rows.columns))
+        if (a, b) == (0, len(text)):
+            return out.orderBy(name) if re.search(r"\bORDER\s+BY\b", _plain(block), re.I) else out
+        count += 1
+        view = f"millrace_numbered_{id(out):x}_{count}"
+        out.createOrReplaceTempView(view)
+        text = f"{text[:a]}SELECT * FROM {view}{text[b:]}"
+    return spark.sql(typed(spark, text))

@@ -69,8 +69,18 @@ def quantified(x: Column, op: str, low: Column, high: Column, n: Column, n_null:
 
     ALL over an empty set is true, ANY is false; a null in the set or in x leaves what the rest does not settle unknown.
     """
+    if op in ("=", "<>"):
+        # For = ALL and <> ANY the least and the largest value say all; the others are IN and NOT IN.
+        if every != (op == "="):
+            raise ValueError("= ANY is IN, <> ALL is NOT IN: see relational.not_in")
+        test = (x == low) & (x == high) if every else (x != low) | (x != high)
+        return _quantified(test, x, n, n_null, every)
     worst = {"<": low, "<=": low, ">": high, ">=": high}[op] if every else {"<": high, "<=": high, ">": low, ">=": low}[op]
     test = {"<": x < worst, "<=": x <= worst, ">": x > worst, ">=": x >= worst}[op]
+    return _quantified(test, x, n, n_null, every)
+
+
+def _quantified(test: Column, x: Column, n: Column, n_null: Column, every: bool) -> Column:
     none = F.lit(None).cast("boolean")
     if every:
         return F.when(n + n_null == 0, True).when((n > 0) & ~test, False).when((n_null > 0) | x.isNull(), none).otherwise(test)

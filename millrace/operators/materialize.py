@@ -12,8 +12,10 @@ _own: dict[str, str] = {}
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir; where it is unset (local runs) below a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "file://" + (_own.get(spark.sparkContext.applicationId, "")[7:] or tempfile.mkdtemp(prefix="millrace-")))
     return f"{found.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
 

@@ -23,11 +23,34 @@ DIALECT = {
     "value_function": ("SELECT v.id, VALUE(v.x, 9) AS x, SUBSTR(v.s, 2) AS s, LCASE(v.s) AS l, ABSVAL(v.x) AS a FROM (VALUES (1, -5, 'Abc'), (2, NULL, 'Zz')) AS v(id, x, s)", "SELECT v.id, coalesce(v.x, 9) AS x, substring(v.s, 2) AS s, lower(v.s) AS l, abs(v.x) AS a FROM (VALUES (1, -5, 'Abc'), (2, NULL, 'Zz')) AS v(id, x, s)"),
     "hyperbolic_functions": ("SELECT p_partkey, round(sinh(p_size / 50.0D), 9) AS sh, round(cosh(p_size / 50.0D), 9) AS ch, round(tanh(p_size / 50.0D), 9) AS th, round(cot(p_size), 6) AS ct FROM {part}", "SELECT p_partkey, round((exp(p_size / 50.0e0) - exp(-p_size / 50.0e0)) / 2, 9) AS sh, round((exp(p_size / 50.0e0) + exp(-p_size / 50.0e0)) / 2, 9) AS ch, round((exp(p_size / 25.0e0) - 1) / (exp(p_size / 25.0e0) + 1), 9) AS th, round(1 / tan(p_size), 6) AS ct FROM {part}"),
     "session_values": ("SELECT CURRENT ISOLATION AS iso, CURRENT_DATE = CURRENT_DATE AS stable", "SELECT 'CS' AS iso, TRUE AS stable"),
-    "integer_division": ("SELECT p_partkey, p_size DIV 7 AS q, (0 - p_size) DIV 7 AS nq, p_size % 7 AS r FROM {part}", "SELECT p_partkey, CAST(p_size // 7 AS BIGINT) AS q, CAST(-(p_size // 7) AS BIGINT) AS nq, p_size % 7 AS r FROM {part}"),
+    "integer_division": ("SELECT p_partkey, p_size / 7 AS q, (0 - p_size) / 7 AS nq, p_partkey / p_size AS wide, p_size / 7.0e0 AS exact, MOD(p_size, 7) AS r FROM {part} WHERE p_size / 2 * 2 = p_size", "SELECT p_partkey, CAST(p_size // 7 AS INTEGER) AS q, CAST(-(p_size // 7) AS INTEGER) AS nq, CAST(p_partkey // p_size AS BIGINT) AS wide, p_size / 7.0e0 AS exact, p_size % 7 AS r FROM {part} WHERE p_size % 2 = 0"),
+    "integer_avg": ("SELECT l_returnflag, AVG(l_linenumber) AS mean, AVG(DISTINCT l_linenumber) AS some, SUM(l_linenumber) AS total, AVG(l_partkey) / COUNT(DISTINCT l_linenumber) AS part, round(AVG(l_quantity), 4) AS exact FROM {lineitem} GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_linenumber) // count(l_linenumber) AS INTEGER) AS mean, CAST(sum(DISTINCT l_linenumber) // count(DISTINCT l_linenumber) AS INTEGER) AS some, CAST(sum(l_linenumber) AS INTEGER) AS total, CAST((sum(l_partkey) // count(l_partkey)) // count(DISTINCT l_linenumber) AS BIGINT) AS part, round(avg(l_quantity), 4) AS exact FROM {lineitem} GROUP BY l_returnflag"),
+    "integer_avg_over": ("SELECT p_partkey, AVG(p_size) OVER (PARTITION BY p_brand) AS mean FROM {part}", "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand) // count(p_size) OVER (PARTITION BY p_brand) AS INTEGER) AS mean FROM {part}"),
+    "length_of_numbers": ("SELECT p_partkey, LENGTH(p_size) AS n_size, LENGTH(p_partkey) AS n_key, LENGTH(p_retailprice) AS n_price, LENGTH(p_name) AS n_name, LENGTH(CAST(p_size AS DECIMAL(10, 2))) AS n_decimal FROM {part}", "SELECT p_partkey, 4 AS n_size, 8 AS n_key, 8 AS n_price, CAST(length(p_name) AS INTEGER) AS n_name, 6 AS n_decimal FROM {part}"),
+    "quoted_names": ('SELECT "n_name" AS "The Name", t."n_regionkey" AS "a ""b""" FROM {nation} AS t WHERE "n_name" LIKE \'A%\' OR "n_name" = \'say "x"\'', 'SELECT "n_name" AS "The Name", t."n_regionkey" AS "a ""b""" FROM {nation} AS t WHERE "n_name" LIKE \'A%\''),
+    "like_without_escape": ("SELECT v.id, v.s LIKE 'a\\b%' AS hit, v.s LIKE v.p AS own, v.s NOT LIKE 'a\\' || '_c' AS joined FROM (VALUES (1, 'a\\bc', 'a\\b_'), (2, 'abc', 'a\\%'), (3, 'a\\bx', '%\\%')) AS v(id, s, p)", "SELECT v.id, v.s LIKE 'a\\b%' AS hit, v.s LIKE v.p AS own, v.s NOT LIKE 'a\\' || '_c' AS joined FROM (VALUES (1, 'a\\bc', 'a\\b_'), (2, 'abc', 'a\\%'), (3, 'a\\bx', '%\\%')) AS v(id, s, p)"),
+    "string_literals": ("SELECT 'it''s' AS a, 'back\\slash\\n' AS b, '\"q\"' AS c", "SELECT 'it''s' AS a, 'back\\slash\\n' AS b, '\"q\"' AS c"),
+    "row_number_in_sql": ("SELECT count(*) AS n, min(t.r) AS lo, max(t.r) AS hi, count(DISTINCT t.r) AS d, count(DISTINCT t.o_orderkey) AS k FROM (SELECT ROW_NUMBER() OVER () AS r, o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 1000) AS t", "SELECT count(*) AS n, 1 AS lo, count(*) AS hi, count(*) AS d, count(*) AS k FROM {orders} WHERE o_totalprice > 1000"),
+    "row_number_paged": ("SELECT t.r FROM (SELECT ROW_NUMBER() OVER () AS r, n_name FROM {nation}) AS t WHERE t.r <= 5", "SELECT r FROM range(1, 6) AS v(r)"),
     "xml_functions": ("SELECT n_nationkey, xpath_string(concat('<n k=\"', n_regionkey, '\"><name>', n_name, '</name></n>'), '/n/name') AS name, xpath_boolean(concat('<n k=\"', n_regionkey, '\"/>'), '/n[@k=1]') AS hit FROM {nation}", "SELECT n_nationkey, n_name AS name, n_regionkey = 1 AS hit FROM {nation}"),
     "json_functions": ("SELECT event_id, to_json(named_struct('id', event_id, 'type', event_type)) AS js, get_json_object(to_json(named_struct('t', event_type)), '$.t') AS t FROM {events}", "SELECT event_id, '{{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}}' AS js, event_type AS t FROM {events}"),
 }
 
+_SETS = {"some": "SELECT c_nationkey FROM {customer} WHERE c_acctbal > 9000", "none": "SELECT c_nationkey FROM {customer} WHERE c_acctbal > 1e9", "nulls": "SELECT CASE WHEN n_nationkey > 7 THEN n_nationkey END FROM {nation}", "one": "SELECT 7 FROM {region}"}
+for _name, _op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="), ("eq", "="), ("ne", "<>")):
+    _columns = [(f"{q}_{kind}", q, text) for kind, text in _SETS.items() for q in ("all", "any")]
+    # The twin counts what each comparison gives, pair by pair.
+    _pair = f"count(*) FILTER (WHERE x {_op} v) AS t, count(*) FILTER (WHERE NOT (x {_op} v)) AS f, count(*) FILTER (WHERE (x {_op} v) IS NULL AND i IS NOT NULL) AS u"
+    _case = {"all": "CASE WHEN f > 0 THEN FALSE WHEN u > 0 THEN NULL ELSE TRUE END", "any": "CASE WHEN t > 0 THEN TRUE WHEN u > 0 THEN NULL ELSE FALSE END"}
+    _values = "SELECT nullif(n_nationkey, 3) AS x, n_nationkey AS id FROM {nation}"
+    DIALECT[f"quantified_{_name}"] = (
+        f"SELECT id, {', '.join(f'x {_op} {q.upper()} ({text}) AS {name}' for name, q, text in _columns)} FROM ({_values}) AS n",
+        f"SELECT id, {', '.join(f'(SELECT {_case[q]} FROM (SELECT {_pair} FROM (SELECT 1 AS i, q.* FROM ({text}) AS q(v)))) AS {name}' for name, q, text in _columns)} FROM ({_values}) AS n",
+    )
+DIALECT["quantified_correlated"] = (
+    "SELECT c_custkey FROM {customer} c WHERE c_acctbal * 30 > ALL (SELECT o_totalprice FROM {orders} o WHERE o.o_custkey = c.c_custkey) AND c_acctbal < SOME (SELECT s_acctbal FROM {supplier} WHERE s_nationkey = c.c_nationkey)",
+    "SELECT c_custkey FROM {customer} c WHERE coalesce(c_acctbal * 30 > (SELECT max(o_totalprice) FROM {orders} o WHERE o.o_custkey = c.c_custkey), TRUE) AND c_acctbal < (SELECT max(s_acctbal) FROM {supplier} WHERE s_nationkey = c.c_nationkey)",
+)
 
 
 def _int_avg(spark, d):
@@ -47,6 +70,14 @@ def _row_number(spark, d):
     return relational.numbered(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "rn", [F.col("o_totalprice").asc_nulls_last(), F.col("o_orderkey").asc_nulls_last()]).select("o_orderkey", "rn")
 
 
+def _row_number_payload(spark, d):
+    return relational.numbered(table(spark, d, "orders"), "rn", [F.col("o_custkey").desc_nulls_first(), F.col("o_orderkey").asc_nulls_last()]).select("rn", "o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+def _sql_parameters(spark, d):
+    return run_sql(spark, d, "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderstatus <> ? AND o_totalprice > ? ORDER BY o_orderkey OFFSET ? ROWS FETCH FIRST ? ROWS ONLY", ["it's?", 1000.5, 3, 11])
+
+
 def _row_number_partitioned(spark, d):
     return relational.numbered(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "rn", [F.col("o_totalprice").desc_nulls_first(), F.col("o_orderkey").asc_nulls_last()], ["o_custkey"]).select("o_orderkey", "rn")
 
@@ -186,6 +217,8 @@ FRAMES = {
     "udaf_mode": (_mode, "SELECT o_orderstatus, min(o_orderpriority) AS most FROM (SELECT o_orderstatus, o_orderpriority, rank() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC) AS r FROM {orders} GROUP BY 1, 2) WHERE r = 1 GROUP BY o_orderstatus"),
     "udaf_geometric_mean": (_geometric, "SELECT o_orderpriority, round(exp(avg(ln(o_totalprice))), 4) AS g FROM {orders} WHERE o_totalprice > 0 GROUP BY o_orderpriority"),
     "row_number_global": (_row_number, "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rn FROM {orders}"),
+    "row_number_payload": (_row_number_payload, "SELECT row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS rn, o_orderkey, o_orderstatus, o_orderpriority FROM {orders}"),
+    "sql_parameters": (_sql_parameters, "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_totalprice > 1000.5 ORDER BY o_orderkey LIMIT 11 OFFSET 3"),
     "row_number_partitioned": (_row_number_partitioned, "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}"),
     "quantified_all_any": (_quantified, "SELECT n_nationkey, coalesce(n_nationkey >= (SELECT max(c_nationkey) FROM {customer} WHERE c_acctbal > 9000), TRUE) AS every, coalesce(n_nationkey < (SELECT max(c_nationkey) FROM {customer} WHERE c_acctbal > 9000), FALSE) AS some FROM {nation}"),
     "not_in_operator": (_not_in, "SELECT s_suppkey FROM {supplier} WHERE s_nationkey NOT IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 2)"),
