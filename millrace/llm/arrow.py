@@ -26,6 +26,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").alias(alias) for alias, name in columns.items()))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that no column of the table has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Pieces of at most so many rows, so that what Python holds of a batch stays small."""
     for b in batches:

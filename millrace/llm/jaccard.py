@@ -7,16 +7,26 @@ more than similar sets of a level can differ in, and some to spare.  Similar
 sets then agree in a whole segment, so the lists are keyed by (level, segment,
 contents of the segment) instead of single shingles: entries at other positions
 are never met, and a passage that very many documents share makes no long list,
-because its shingles lie in segments with others.  Lists travel as packed
-blocks, and only those with two sets or more go on.
-
-Sets connected by lists form candidate groups, whose texts are fetched.  Inside
-a group answers are derived from each other: the vector of a leader's overlaps
-with all sets is computed from the inverted lists; a similar set's vector is
-the leader's, corrected by the lists of the shingles in which the two differ.
-Every pair of a group is thus decided exactly, without listing pairs.  A group
-larger than `block_shingles` is cut into blocks, and each pair of blocks is a
-task of its own.
+because its shingles lie in segments with others.
+
+A list is skipped in blocks of entries that cannot be similar where they stand.
+Let d(i) be in how many shingles of segment i two similar sets differ, D at most
+in all.  Of the D + 1 + spare segments, taken as a ring, at least 1 + spare are
+such that every run of r segments that begins there has fewer than r differing
+shingles (the cycle lemma on the numbers 1 - d(i)).  So each entry carries, for
+the `reach` segments from its position on, the parities of their shingles over
+32 bits: those of similar sets differ in fewer than `reach` bits at one of their
+common positions.  Entries with equal parities are one block, and blocks that
+differ in more bits are skipped; that is exact, and leaves hardly any sets that
+meet by chance.  Lists travel as packed runs, one bucket of them is held at once.
+
+Sets connected by such entries form candidate groups, whose texts are fetched.
+Inside a group answers are derived from each other: the vector of a leader's
+overlaps with all sets is computed from the inverted lists; a similar set's
+vector is the leader's, corrected by the lists of the shingles in which the two
+differ.  Every pair of a group is thus decided exactly, without listing pairs.  A
+group larger than `block_shingles` is cut into blocks, and each pair of blocks is
+a task of its own.
 
 Defined results: a text without words, empty or null, has no shingles, links
 with nothing and is its own component; repeated rows link like other equal sets;
@@ -25,9 +35,7 @@ a null id never names a component unless all ids of the component are null.
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +45,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pick
+from .arrow import free, pick
 from .components import components
-from .store import materialize
+from .store import discard, materialize
 from .words import BLANKS, mix, shingles, words
 
 _PART = 1 << 16
+#: An entry of a list: list key (48 bits), parities (32), the set's number in its run (16).
+_ENTRY = 12
 
 
 class Levels:
@@ -53,6 +63,9 @@ class Levels:
         self.upper = [1]
         while self.upper[-1] < 1 << 40:
             self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * den // num))
+        filled = num * num * (num + den) / (2 * (den - num) * den * den) if den > num else 16
+        #: Segments whose parities an entry carries: about 16 shingles, 32 in two sets that meet by chance.
+        self.reach = max(3, min(6, round(16 / filled)))
         self._segments: dict[int, tuple[np.ndarray, int]] = {}
 
     def of(self, n: int) -> int:
@@ -82,8 +95,8 @@ class Levels:
             self._segments[level] = bounds, spare
         return self._segments[level]
 
-    def signatures(self, tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """List keys of a sorted set.
+    def signatures(self, tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """List keys of a sorted set, and the parities from each one's position on.
 
         Segments with common shingles only, or none, give no key, unless the set has
         more of them than are to spare; a similar set then either has a key of another
@@ -91,11 +104,14 @@ class Levels:
         """
         total = np.zeros(len(tokens) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(mix(tokens), out=total[1:])
+            mixed = mix(tokens)
+            np.cumsum(mixed, out=total[1:])
+        odd = np.zeros(len(tokens) + 1, np.uint32)
+        np.bitwise_xor.accumulate(np.uint32(1) << (mixed >> np.uint64(59)).astype(np.uint32), out=odd[1:])
         rare = np.zeros(len(tokens) + 1, np.int64)
         at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
         np.cumsum(common[at] != tokens if len(common) else np.ones(len(tokens), bool), out=rare[1:])
-        out = []
+        out, near = [], []
         own = self.of(len(tokens))
         for level in (own, own + 1):
             if not self.differ(level):
@@ -107,8 +123,13 @@ class Levels:
             with np.errstate(over="ignore"):
                 keys = mix((total[cut[1:]] - total[cut[:-1]]) + np.arange(len(cut) - 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level) * np.uint64(0xC2B2AE3D27D4EB4F))
             telling = rare[cut[1:]] > rare[cut[:-1]]
-            out.append(keys if len(telling) - np.count_nonzero(telling) > spare else keys[telling])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            start, m = np.arange(len(keys)), len(keys)
+            stop = start + min(self.reach, m)
+            parity = odd[cut[np.minimum(stop, m)]] ^ odd[cut[:-1]] ^ odd[cut[np.maximum(stop - m, 0)]]
+            chosen = slice(None) if m - np.count_nonzero(telling) > spare else telling
+            out.append(keys[chosen])
+            near.append(parity[chosen])
+        return (np.concatenate(out), np.concatenate(near)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
 
 
 _OUT = pa.schema([("bucket", pa.int32()), ("rid", pa.int64()), ("rep", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("blob", pa.binary())])
@@ -146,14 +167,14 @@ def _common(k: int, share: float):
     return run
 
 
-def common_shingles(texts: DataFrame, k: int, share: float) -> np.ndarray:
-    """Sorted shingles that at least about `share` of all documents hold: at most a document's mean number of shingles / share.
+def common_shingles(texts: DataFrame, k: int, share: float) -> tuple[np.ndarray, int]:
+    """Sorted shingles that at least about `share` of all documents hold, at most a document's mean number of shingles / share; and the bytes of all texts.
 
     They only steer which lists are made; answers do not depend on them.
     """
     counts = texts.mapInArrow(_common(k, share), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    least = max(4.0, share * texts.count())
-    return np.sort(counts.filter(F.col("n") >= least).select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
+    docs, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return np.sort(counts.filter(F.col("n") >= max(4.0, share * docs)).select("shingle").toArrow().column(0).to_numpy().view(np.uint64)), size
 
 
 def _sketch(k: int, num: int, den: int, buckets: int, common: np.ndarray):
@@ -165,21 +186,22 @@ def _sketch(k: int, num: int, den: int, buckets: int, common: np.ndarray):
         flushes = 0
         first: dict[tuple[int, int, int], int] = {}
         keys: list[np.ndarray] = []
+        near: list[np.ndarray] = []
         owners: list[tuple[int, int]] = []
-        used = 0
+        used = held = 0
 
         def blobs() -> pa.RecordBatch:
-            nonlocal keys, owners
-            sig = np.concatenate(keys)
+            nonlocal keys, near, owners, held
+            sig, parity = np.concatenate(keys), np.concatenate(near)
             owner = np.repeat(np.array([o for o, _ in owners], np.uint16), [n for _, n in owners])
             bucket = (sig >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)
             order = np.argsort(bucket, kind="stable")
-            sig, owner, bucket = sig[order], owner[order], bucket[order]
+            sig, parity, owner, bucket = sig[order], parity[order].astype("<u4"), owner[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - np.uint64(1), append=bucket[-1:] + np.uint64(1)))
             low, mid = (sig & np.uint64(0xFFFFFFFF)).astype("<u4"), (sig >> np.uint64(32)).astype("<u2")
-            packed = [b"".join((low[a:b].tobytes(), mid[a:b].tobytes(), owner[a:b].tobytes())) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            packed = [b"".join((low[a:b].tobytes(), parity[a:b].tobytes(), mid[a:b].tobytes(), owner[a:b].tobytes())) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             none = pa.nulls(len(packed), pa.int64())
-            keys, owners = [], []
+            keys, near, owners, held = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array([base + flushes * _PART] * len(packed), pa.int64()), *[none] * 6, pa.array(packed, pa.binary())], schema=_OUT)
 
         for b in batches:
@@ -195,12 +217,14 @@ def _sketch(k: int, num: int, den: int, buckets: int, common: np.ndarray):
                     rep = first.setdefault((n, s1, s2), rid) if n else rid
                     rows.append((rid % buckets, rid, rep, n, s1, s2))
                     if rep == rid and n:
-                        own = levels.signatures(tokens, common)
+                        own, parity = levels.signatures(tokens, common)
                         if len(own):
                             keys.append(own)
+                            near.append(parity)
                             owners.append((used, len(own)))
+                            held += len(own)
                     used += 1
-                    if used == _PART:
+                    if used == _PART or held > 1 << 22:
                         if keys:
                             yield blobs()
                         used, flushes = 0, flushes + 1
@@ -238,35 +262,84 @@ class _Sets:
         return np.array(a, np.int64), np.array([self.up[x] for x in a], np.int64)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes the documents' rows on, and adds rows (rid, rep) for sets that meet in a list."""
-    parts: dict[int, list[tuple[int, bytes]]] = {}
-    for b in batches:
-        packed = pc.is_valid(b.column(8))
-        blobs = b.filter(packed)
-        for bucket, base, blob in zip(blobs.column(0).to_pylist(), blobs.column(1).to_pylist(), blobs.column(8).to_pylist(), strict=True):
-            parts.setdefault(bucket, []).append((base, blob))
-        rest = b.filter(pc.invert(packed))
-        yield pa.RecordBatch.from_arrays(rest.columns[1:8], schema=pa.schema(list(_OUT)[1:8]))
-    sets = _Sets()
-    for blobs in parts.values():
-        sig, rid = [], []
-        for base, blob in blobs:
-            n = len(blob) // 8
-            low, mid, owner = np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<u2", n, 4 * n), np.frombuffer(blob, "<u2", n, 6 * n)
-            sig.append(mid.astype(np.uint64) << np.uint64(32) | low)
-            rid.append(owner.astype(np.int64) + base)
-        sig, rid = np.concatenate(sig), np.concatenate(rid)
-        order = np.lexsort((rid, sig))
-        sig, rid = sig[order], rid[order]
-        same = np.flatnonzero(sig[1:] == sig[:-1])
-        pairs = np.unique(np.stack([rid[same], rid[same + 1]], 1), axis=0)
-        for a, b in pairs.tolist():
-            if a != b:
-                sets.join(a, b)
-    a, b = sets.links()
-    none = pa.nulls(len(a), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, pa.nulls(len(a), pa.int64()), none, none], schema=pa.schema(list(_OUT)[1:8]))
+def _close(sig: np.ndarray, parity: np.ndarray, rid: np.ndarray, reach: int, sets: _Sets) -> None:
+    """Joins the sets of entries with one list key whose parities differ in fewer than `reach` bits."""
+    order = np.lexsort((rid, parity, sig))
+    sig, parity, rid = sig[order], parity[order], rid[order]
+    same = sig[1:] == sig[:-1]
+    block = np.concatenate([[True], ~same | (parity[1:] != parity[:-1])])
+    inner = np.flatnonzero(~block)
+    pairs = [np.stack([rid[inner - 1], rid[inner]], 1)]
+    sig, parity, rid = sig[block], parity[block], rid[block]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(start, append=len(sig))
+    at = np.repeat(size, size)
+    short, rank = np.flatnonzero((at > 1) & (at <= 32)), np.arange(len(sig)) - np.repeat(start, size)
+    for step in range(1, 32):
+        short = short[rank[short] + step < at[short]]
+        if not len(short):
+            break
+        good = short[np.bitwise_count(parity[short] ^ parity[short + step]) < reach]
+        pairs.append(np.stack([rid[good], rid[good + step]], 1))
+    for a, b in np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0).tolist():
+        if a != b:
+            sets.join(a, b)
+    for k in np.flatnonzero(size > 32).tolist():
+        # Blocks outside of the first one's component are compared with all others, so every pair has one side that is.
+        own, ids = parity[start[k] : start[k] + size[k]], rid[start[k] : start[k] + size[k]].tolist()
+        for i in range(len(ids)):
+            if i and sets.root(ids[i]) == sets.root(ids[0]):
+                continue
+            for j in np.flatnonzero(np.bitwise_count(own ^ own[i]) < reach).tolist():
+                sets.join(ids[i], ids[j])
+
+
+def _meet(reach: int):
+    """Passes the documents' rows on, and adds rows (rid, rep) for sets that meet in a list; rows come in order of buckets."""
+    schema = pa.schema(list(_OUT)[1:8])
+
+    def links(sets: _Sets) -> pa.RecordBatch:
+        a, b = sets.links()
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * 5], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, now, runs = _Sets(), None, []
+
+        def close() -> None:
+            parts = [[], [], []]
+            for base, blob in runs:
+                n = len(blob) // _ENTRY
+                low, parity, mid, owner = np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<u4", n, 4 * n), np.frombuffer(blob, "<u2", n, 8 * n), np.frombuffer(blob, "<u2", n, 10 * n)
+                for part, x in zip(parts, (mid.astype(np.uint64) << np.uint64(32) | low, parity, owner.astype(np.int64) + base), strict=True):
+                    part.append(x)
+            runs.clear()
+            sig, parity, rid = map(np.concatenate, parts)
+            order = np.argsort(sig, kind="stable")
+            sig = sig[order]
+            twin = sig[1:] == sig[:-1]
+            met = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
+            if met.any():
+                _close(sig[met], parity[order[met]], rid[order[met]], reach, sets)
+
+        for b in batches:
+            packed = pc.is_valid(b.column(8))
+            blobs = b.filter(packed)
+            for bucket, base, blob in zip(blobs.column(0).to_pylist(), blobs.column(1).to_pylist(), blobs.column(8).to_pylist(), strict=True):
+                if bucket != now and runs:
+                    close()
+                    if len(sets.up) > 1 << 20:
+                        yield links(sets)
+                        sets = _Sets()
+                now = bucket
+                runs.append((base, blob))
+            rest = b.filter(pc.invert(packed))
+            yield pa.RecordBatch.from_arrays(rest.columns[1:8], schema=schema)
+        if runs:
+            close()
+        yield links(sets)
+
+    return run
 
 
 class _Group:
@@ -310,21 +383,17 @@ class _Group:
 def _verify(k: int, num: int, den: int):
     """(a, b, links): forest of the links of each task, and for each class (a = b) the number of documents it links with."""
 
-    def decide(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        low, high = rows[0][1], rows[0][2]
-        found = list({r[3]: r for r in rows}.values())
-        if len(found) < 2:
-            return
-        sets = []
-        for _, w in words(pa.array([r[6] for r in found], pa.large_string()), BLANKS):
-            sets += [np.unique(shingles(w.row(i), k)) for i in range(len(w))]
-        ids = np.array([r[3] for r in found], np.int64)
-        block = np.array([r[4] for r in found])
-        weight = np.array([r[5] for r in found], np.int64)
-        links = np.zeros(len(found), np.int64)
+    def decide(task: pa.Table) -> pa.RecordBatch:
+        low, high = task.column("low")[0].as_py(), task.column("high")[0].as_py()
+        ids, at = np.unique(task.column("cid").to_numpy(), return_index=True)
+        task = task.take(at)
+        block, weight = task.column("block").to_numpy(), task.column("copies").to_numpy()
+        sets = [np.unique(shingles(w.row(i), k)) for _, w in words(task.column("text"), BLANKS) for i in range(len(w))]
+        links = np.zeros(len(ids), np.int64)
         forest = _Sets()
         group = _Group(sets)
-        for y, overlap in group.overlaps():
+        del sets
+        for y, overlap in group.overlaps() if len(ids) > 1 else ():
             near = den * overlap >= num * (group.sizes + group.sizes[y] - overlap)
             near[y] = False
             if low != high:
@@ -334,59 +403,39 @@ def _verify(k: int, num: int, den: int):
             for other in z[z > y].tolist():
                 forest.join(int(ids[y]), int(ids[other]))
         a, b = forest.links()
-        yield from zip(a.tolist(), b.tolist(), [0] * len(a), strict=True)
-        yield from ((int(ids[i]), int(ids[i]), int(links[i])) for i in np.flatnonzero(links).tolist())
+        linked = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, ids[linked]])), pa.array(np.concatenate([b, ids[linked]])), pa.array(np.concatenate([np.zeros(len(a), np.int64), links[linked]]))], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[list[tuple]]:
-            now, rows = None, []
-            for b in batches:
-                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if row[:3] != now:
-                        if rows:
-                            yield rows
-                        now, rows = row[:3], []
-                    rows.append(row)
-            if rows:
-                yield rows
-
-        out: list[tuple[int, int, int]] = []
-        for rows in groups():
-            out += decide(rows)
-            if len(out) > 10_000:
-                yield _links(out)
-                out = []
-        yield _links(out)
+        now, parts = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [b.column(i).to_numpy() for i in range(3)]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
+            for x, y in zip([0, *new.tolist()], [*new.tolist(), b.num_rows], strict=True):
+                key = tuple(int(c[x]) for c in keys)
+                if key != now and parts:
+                    yield decide(pa.Table.from_batches(parts))
+                    parts = []
+                now = key
+                parts.append(b.slice(x, y - x))
+        if parts:
+            yield decide(pa.Table.from_batches(parts))
 
     return run
 
 
-def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    a, b, n = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "links"])
-
-
-def _tidy(spark) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished steps before the next ones are written."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, block_shingles: int = 2_000_000, common_share: float = 1 / 2000) -> DataFrame:
-    """rid (a row's own number), doc_id, th (hash of the text), n_shingles, component (a number), component_id (its smallest doc_id) and n_links (documents that the row links with) of every row.
-
-    Sets link when den * intersection >= num * union.  Ids are cast to bigint.
-    """
+def _found(documents: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, block_shingles: int, common_share: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """The rows of `join`, and the tables they are read from."""
     spark = documents.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = pick(documents, doc_id=doc_id, text=text).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    common = common_shingles(source.select("text"), k, common_share)
-    sketched = source.mapInArrow(_sketch(k, num, den, buckets, common), _OUT_DDL).repartition(buckets // 8, "bucket").mapInArrow(_meet, _OUT_DDL.split("int, ", 1)[1].rsplit(",", 1)[0])
-    met = materialize(sketched, "jaccard-sets")
-    del sketched
-    _tidy(spark)
+    common, size = common_shingles(source.select("text"), k, common_share)
+    # A bucket holds the lists of about 8 MB of text, a partition those of 128 MB at most.
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 27)
+    buckets = max(8 * partitions, size >> 23)
+    sketched = source.mapInArrow(_sketch(k, num, den, buckets, common), _OUT_DDL).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    met = materialize(sketched.mapInArrow(_meet(Levels(num, den).reach), _OUT_DDL.split("int, ", 1)[1].rsplit(",", 1)[0]), "jaccard-sets")
     rows = met.filter("n is not null")
     of_set = rows.filter("n > 0 and rid = rep").groupBy("n", "s1", "s2").agg(F.min("rid").alias("cid"))
     reps = materialize(rows.filter("n > 0 and rid = rep").join(of_set, ["n", "s1", "s2"]).select("rid", "cid", "n", "doc_id", "th"), "jaccard-reps")
@@ -399,35 +448,42 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k:
     tasks = tasks.select("g", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "block", "copies", "doc_id", "th")
     # Merged at every size: the members grow with the documents, so they are never broadcast.
     texts = source.alias("s").join(tasks.hint("merge").alias("t"), F.expr("s.th = t.th and s.doc_id <=> t.doc_id")).select("t.g", "t.low", "t.high", "t.cid", "t.block", "t.copies", "s.text")
-    texts = texts.repartition(buckets // 8, "g", "low", "high").sortWithinPartitions("g", "low", "high", "cid")
+    texts = texts.repartition(partitions, "g", "low", "high").sortWithinPartitions("g", "low", "high", "cid")
     links = materialize(texts.mapInArrow(_verify(k, num, den), "a bigint, b bigint, links bigint"), "jaccard-links")
-    del texts
-    _tidy(spark)
     joined = components(links.filter("a <> b").select("a", "b"))
     counts = links.filter("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     named = classes.join(joined, classes["cid"] == joined["node"], "left").select("cid", "copies", "least", F.coalesce("label", "cid").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(smallest, "component").join(counts, "cid", "left").select("cid", "component", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    of_rep = reps.select("rid", "cid").join(named, "cid").select(F.col("rid").alias("rep"), "component", "component_id", "n_links")
+    of_rep = materialize(reps.select("rid", "cid").join(named, "cid").select(F.col("rid").alias("rep"), "component", "component_id", "n_links"), "jaccard-named")
+    discard(reps, classes, labels, member, links, joined)
     out = rows.select("rid", "rep", "doc_id", "th", F.col("n").alias("n_shingles")).join(of_rep, "rep", "left")
-    return out.select("rid", "doc_id", "th", "n_shingles", F.coalesce("component", "rid").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select("rid", "doc_id", "th", "n_shingles", F.coalesce("component", "rid").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out, (met, of_rep)
 
 
-def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, block_shingles: int = 500_000, common_share: float = 1 / 2000) -> DataFrame:
+    """rid (a row's own number), doc_id, th (hash of the text), n_shingles, component (a number), component_id (its smallest doc_id) and n_links (documents that the row links with) of every row.
+
+    Sets link when den * intersection >= num * union.  Ids are cast to bigint.
+    """
+    return _found(documents, doc_id, text, k, num, den, block_shingles, common_share)[0]
+
+
+def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, block_shingles: int = 500_000, common_share: float = 1 / 2000) -> DataFrame:
     """The documents with all their columns, one of each component: that with the smallest id, null ids last.
 
-    Documents without words are components of their own and all stay, also repeated ones.
+    Documents without words are components of their own and all stay, also repeated
+    ones.  Other columns, whatever their names, stay as they are.
     """
-    spark = documents.sparkSession
-    found = join(documents, doc_id=doc_id, text=text, **options)
+    found, tables = _found(documents, doc_id, text, k, num, den, block_shingles, common_share)
     rows = found.groupBy("component", "doc_id", "th").agg(F.min("rid").alias("rid"), F.when(F.max("n_shingles") > 0, F.count("*")).otherwise(0).alias("n"))
     one = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "th", "n")).alias("x"))
-    kept = one.groupBy(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")).agg((F.sum("x.n") > 1).alias("__many"))
-    kept = materialize(kept, "jaccard-kept")
-    del found, rows, one
-    _tidy(spark)
-    keyed = documents.withColumns({"__key": F.col(f"`{doc_id}`").cast("bigint"), "__hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    joined = keyed.join(kept.hint("merge"), F.expr("__hash = __th and __key <=> __id"))
+    key, hashed, its_key, its_hash, many = free(documents, "key", "hash", "kept_key", "kept_hash", "many")
+    kept = materialize(one.groupBy(F.col("x.doc_id").alias(its_key), F.col("x.th").alias(its_hash)).agg((F.sum("x.n") > 1).alias(many)), "jaccard-kept")
+    discard(*tables)
+    keyed = documents.withColumns({key: F.col(f"`{doc_id}`").cast("bigint"), hashed: F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    joined = keyed.join(kept.hint("merge"), (F.col(hashed) == F.col(its_hash)) & F.col(key).eqNullSafe(F.col(its_key)))
     # Only fully repeated rows need a second look; the others are not shuffled again.
     names = [F.col(f"`{c}`") for c in documents.columns]
-    return joined.filter("not __many").select(*names).unionAll(joined.filter("__many").dropDuplicates(["__key", "__hash"]).select(*names))
+    return joined.filter(~F.col(many)).select(*names).unionAll(joined.filter(many).dropDuplicates([key, hashed]).select(*names))

@@ -97,7 +97,25 @@ def test_similar_sets_always_share_a_list():
             both = len(np.intersect1d(x, y))
             if 100 * both >= num * (len(x) + len(y) - both) and both < max(len(x), len(y)):
                 for common in (x[:0], x[::7], x[: len(x) // 2], x):
-                    assert np.intersect1d(levels.signatures(x, common), levels.signatures(y, common)).size
+                    (a, p), (b, q) = levels.signatures(x, common), levels.signatures(y, common)
+                    _, i, j = np.intersect1d(a, b, return_indices=True)
+                    assert (np.bitwise_count(p[i] ^ q[j]) < levels.reach).any()
+
+
+def test_long_lists_are_closed():
+    """Entries of one list: components of the pairs whose parities differ in fewer bits, whatever the length of the list."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (2, 20, 33, 400):
+        parity = (rng.integers(0, 6, n).astype(np.uint32) * np.uint32(0x01234567)) ^ (np.uint32(1) << rng.integers(0, 32, n).astype(np.uint32))
+        got, want = jaccard._Sets(), jaccard._Sets()
+        jaccard._close(np.zeros(n, np.uint64), parity, np.arange(n), 3, got)
+        for i in range(n):
+            for j in range(i):
+                if bin(int(parity[i] ^ parity[j])).count("1") < 3:
+                    want.join(i, j)
+        assert [got.root(i) for i in range(n)] == [want.root(i) for i in range(n)]
 
 
 def test_components(spark):
