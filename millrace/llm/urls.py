@@ -7,15 +7,23 @@ rejected URLs' strings of their length, so that a rare class keeps its own, and
 model has more than 2 * (order + 1) / least_share entries and may be broadcast.  A character's probability is interpolated from the
 longest kept context down to the uniform distribution; written in logarithms,
 every occurrence of a kept string adds a fixed amount, so that a URL's score is
-a sum over its strings.  The threshold is the one that parts the training URLs
-best by balanced accuracy.
+a sum over its strings.
 
-Training labels: a URL is rejected if its host holds one of the seed words, else
-accepted; the models see host and path, and carry the decision over to URLs
-written otherwise.  Rules do not label.
+Training labels are weak: a URL is rejected if one of the names in its host (between
+dots, hyphens and underscores) is a seed word, else accepted, so `ads-track` is and
+`downloads` is not.  The models see host and path, and
+carry the decision over to URLs written otherwise.  Rules do not label.  URLs
+are parted by a hash of their host: four fifths of the hosts train the models, and
+the threshold is the one that parts the URLs of the other hosts best by balanced
+accuracy, as the models have not seen them.
+
+A URL's strings travel with its row number alone; characters are taken from an
+array, so that the work grows with the URL's length and not with its square.
 
 Defined results: null URLs and those without :// have empty host and path, fit
-no rule and are judged as the empty string; repeated rows have equal verdicts.
+no rule and are judged as the empty string, which scores 0; repeated rows have equal
+verdicts.  Without rejected or without accepted URLs among the hosts for the
+threshold it comes from all URLs; if those are of one class too, all are allowed.
 """
 
 from __future__ import annotations
@@ -31,7 +39,9 @@ from .store import materialize
 #: (verdict, rule): host and path of a rule, which fits the host and all subdomains.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Words in hosts of unwanted sites.
-SEEDS = ("spam", "casino", "pills", "bets", "ads", "porn", "viagra", "betting", "lottery", "warez")
+SEEDS = ("spam", "casino", "pills", "bets", "ads", "adult", "porn", "viagra", "betting", "lottery", "warez")
+#: One host in so many serves the threshold, not the models.
+FOLDS = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,11 +64,23 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def seeded(host: Column, seeds=SEEDS) -> Column:
+    """Whether a name in the host is a seed word."""
+    return F.arrays_overlap(F.split(host, r"[._-]"), F.array(*map(F.lit, seeds)))
+
+
+def for_threshold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)) == 0
+
+
 def _strings(rows: DataFrame, order: int, keep: list[str]) -> DataFrame:
     """One row for each string of 1 to order + 1 characters of `u`: s, and whether a character follows."""
-    n = F.length("u")
-    found = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(order + 1)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(F.substring(F.col("u"), i, k).alias("s"), (i + k <= n).cast("int").alias("more")))).otherwise(F.array().cast("array<struct<s:string,more:int>>"))))
-    return rows.select(*keep, F.explode(found).alias("x")).select(*keep, "x.s", "x.more")
+    chars = rows.select(*keep, F.when(F.length("u") > 0, F.split("u", "")).otherwise(F.array().cast("array<string>")).alias("c"))
+    places = chars.select(*keep, "c", F.posexplode("c").alias("i", "first"))
+    one = lambda k: F.get("c", F.col("i") + k)
+    # A string that would reach beyond the end is null.
+    found = F.array(*(F.struct(F.concat("first", *(one(j) for j in range(1, k))).alias("s"), one(k).isNotNull().cast("int").alias("more")) for k in range(1, order + 2)))
+    return places.select(*keep, F.explode(found).alias("x")).select(*keep, "x.s", "x.more").filter("s is not null")
 
 
 class Model:
@@ -107,18 +129,27 @@ def learn(rows: DataFrame, *, order: int = 4, least_share: float = 1e-5) -> Mode
 
 
 def _threshold(scored: DataFrame) -> float:
-    """Between accepted and rejected training URLs, from counts by score to a hundredth; scores are cut to -20 to 20."""
-    cell = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) * 100).cast("int")
-    rows = sorted(tuple(r) for r in scored.groupBy(cell.alias("cell")).agg(F.sum(1 - F.col("rejected")), F.sum("rejected")).collect())
-    accepted, rejected = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    """Between accepted and rejected URLs, from counts by score to a hundredth: logarithms, so a few thousand at most."""
+    cell = F.floor(F.col("score") * 100).cast("int")
+    counts = scored.groupBy(cell.alias("cell"), "apart").agg(F.sum(1 - F.col("rejected")).alias("a"), F.sum("rejected").alias("r")).collect()
+    rows = [x for x in counts if x["apart"]]
+    if not sum(x["a"] for x in rows) or not sum(x["r"] for x in rows):
+        rows = counts
+    by: dict[int, list[int]] = {}
+    for x in rows:
+        own = by.setdefault(x["cell"], [0, 0])
+        own[0], own[1] = own[0] + x["a"], own[1] + x["r"]
+    accepted, rejected = sum(x[0] for x in by.values()), sum(x[1] for x in by.values())
     if not accepted or not rejected:
         return -math.inf
-    best, at, a, r = -1.0, 0.0, 0, 0
-    for cell, own_a, own_r in rows:
-        a, r = a + own_a, r + own_r
+    best, low, high, a, r = -1.0, 0.0, 0.0, 0, 0
+    cells = sorted(by)
+    for k, at in enumerate(cells):
+        a, r = a + by[at][0], r + by[at][1]
         if (value := r / rejected + 1 - a / accepted) > best + 1e-12:
-            best, at = value, (cell + 1) / 100
-    return at
+            # Halfway to the next score, as no URL lies between.
+            best, low, high = value, (at + 1) / 100, (cells[k + 1] / 100 if k + 1 < len(cells) else (at + 1) / 100)
+    return (low + high) / 2
 
 
 def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules=RULES, seeds=SEEDS, order: int = 4, least_share: float = 1e-5) -> DataFrame:
@@ -126,16 +157,14 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules
     spark = pages.sparkSession
     source = pick(pages, page_id=page_id, url=url)
     host, path = parts(F.col("url"))
-    rows = source.select("page_id", host.alias("host"), path.alias("path")).withColumn("u", F.concat("host", "path"))
-    rows = rows.withColumn("rejected", F.exists(F.array(*map(F.lit, seeds)), lambda s: F.contains(F.col("host"), s)).cast("int"))
-    entries = F.broadcast(learn(rows, order=order, least_share=least_share).frame(spark))
-    rows = rows.withColumn("rid", F.monotonically_increasing_id())
-    keep = ["rid", "page_id", "host", "path", "rejected", F.length("u").alias("n")]
-    strings = rows.select(*keep, "u")
-    parts_of = _strings(strings, order, ["rid", "page_id", "host", "path", "rejected", "n"]).join(entries, "s", "left")
-    total = parts_of.groupBy("rid").agg(*(F.first(c).alias(c) for c in ("page_id", "host", "path", "rejected")), (F.sum(F.coalesce("always", F.lit(0.0)) + F.coalesce(F.col("follows") * F.col("more"), F.lit(0.0))) / F.first("n")).alias("score")).drop("rid")
-    empty = rows.filter("u = ''").select("page_id", "host", "path", "rejected", F.lit(0.0).alias("score"))
-    scored = materialize(total.union(empty), "urls-scored")
+    rows = source.select(F.monotonically_increasing_id().alias("rid"), "page_id", host.alias("host"), path.alias("path"))
+    rows = rows.withColumns({"rejected": seeded(F.col("host"), seeds).cast("int"), "apart": for_threshold(F.col("host"))})
+    # Written once: a row's number must stay the same.
+    rows = materialize(rows, "urls-rows").withColumn("u", F.concat("host", "path"))
+    entries = F.broadcast(learn(rows.filter(~F.col("apart")), order=order, least_share=least_share).frame(spark))
+    sums = _strings(rows, order, ["rid"]).join(entries, "s").groupBy("rid").agg(F.sum(F.col("always") + F.col("follows") * F.col("more")).alias("sum"))
+    scored = rows.join(sums.hint("merge"), "rid", "left").select("page_id", "host", "path", "rejected", "apart", (F.coalesce("sum", F.lit(0.0)) / F.greatest(F.lit(1), F.length("u"))).alias("score"))
+    scored = materialize(scored, "urls-scored")
     least = _threshold(scored)
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("score") < (least if math.isfinite(least) else -1e300), "block").otherwise("allow")
