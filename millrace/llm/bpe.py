@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import ddl, pick, slices, small_batches, strings
+from .arrow import ddl, frugal, pick, slices, small_batches, strings
 
 SPACE = "▁"
 CACHE_ENTRIES = 400_000
@@ -308,7 +308,7 @@ def encode(documents: DataFrame, model_path: str, *, doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     source = pick(documents, doc_id=doc_id, text=text)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return source.mapInArrow(frugal(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(documents: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,7 +323,7 @@ def digests(documents: DataFrame, model_path: str, *, doc_id: str = "doc_id", te
 
     source = pick(documents, doc_id=doc_id, text=text)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(frugal(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def add_counts(documents: DataFrame, model_path: str, *, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
@@ -339,4 +339,4 @@ def add_counts(documents: DataFrame, model_path: str, *, text: str = "text", ids
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32())), pa.array([len(i) for i in found], pa.int64())], [*names, ids, n_tokens])
 
     source = documents.select(*(F.col(f"`{c}`") for c in names))
-    return source.mapInArrow(run, f"{ddl(source, names)}, `{ids}` array<int>, `{n_tokens}` bigint")
+    return source.mapInArrow(frugal(run), f"{ddl(source, names)}, `{ids}` array<int>, `{n_tokens}` bigint")

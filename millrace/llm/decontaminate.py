@@ -9,14 +9,15 @@ position bounds) and is then compared word by word.
 
 Both passes over the documents are narrow: nothing of the documents is
 shuffled.  The benchmark's index goes to the executors in blocks of at most
-`block_bytes` of item text; a larger benchmark takes more passes, each over
-all documents, and their hits are merged.
+`block_bytes` of item text; it is held in arrays, about eight bytes for each byte
+of text.  A larger benchmark takes more passes, each over all documents, and their
+hits are merged.
 
 Defined results: null texts have no words and no hits; null benchmark texts
 have no windows; ties and repeated rows are treated one by one, and items of
 equal text each count.  Empty tables give empty results.  Columns of the
-documents other than the named ones are carried along only by
-`decontaminate`, and no name of theirs can clash.
+documents other than the named ones are carried along, whatever their names;
+`annotate` refuses to name its own column like one of them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import ddl, pick, slices
+from .arrow import ddl, free, frugal, pick, slices
 from .words import ALNUM, Words, mix, words
 
 SHINGLE = 3
@@ -67,40 +68,87 @@ class _Lookup:
 
 
 class Windows:
-    """Distinct windows of some items."""
+    """Distinct windows of some items, as places in one array of word hashes."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        found: dict[bytes, tuple[np.ndarray, set[str]]] = {}
+        ids = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(ids)}
+        flat, start, length, item, at = [np.zeros(0, np.uint64)], [], [], [], 0
         for first, w in words(pa.array([t for _, t in items], pa.large_string()), ALNUM):
-            for i in range(len(w)):
-                row = w.row(i)
-                n = min(window, len(row))
-                for j in range(len(row) - n + 1 if n else 0):
-                    part = row[j : j + n].copy()
-                    found.setdefault(part.tobytes(), (part, set()))[1].add(items[first + i][0])
-        self.words = [part for part, _ in found.values()]
-        self.items = [sorted(ids) for _, ids in found.values()]
-        self.tokens = [_runs(part, min(SHINGLE, len(part))) for part in self.words]
-        self.widths = sorted({min(SHINGLE, len(part)) for part in self.words})
+            size = np.diff(w.first)
+            n = np.where(size >= window, size - window + 1, np.minimum(size, 1))
+            row = np.repeat(np.arange(len(w)), n)
+            start.append(at + w.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+            length.append(np.minimum(size, window)[row])
+            item.append(np.array([number[items[first + i][0]] for i in range(len(w))], np.int64)[row])
+            flat.append(w.hashes)
+            at += len(w.hashes)
+        self.ids, self.flat = ids, np.concatenate(flat)
+        start, length, item = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (start, length, item))
+        key = np.zeros(len(start), np.uint64)
+        for n in np.unique(length).tolist():
+            own = length == n
+            key[own] = _runs(self.flat, n)[start[own]] ^ np.uint64(n)
+        _, one, same = np.unique(key, return_index=True, return_inverse=True)
+        self.start, self.length = start[one], length[one]
+        # Which items have window k: item[cut[k]:cut[k + 1]].
+        pairs = np.unique(np.stack([same, item], 1), axis=0) if len(same) else np.zeros((0, 2), np.int64)
+        self.item, self.cut = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(one) + 1))
+        self.width = np.minimum(self.length, SHINGLE)
+        self.widths = np.unique(self.width).tolist()
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def items_of(self, k: int) -> list[str]:
+        return [self.ids[i] for i in self.item[self.cut[k] : self.cut[k + 1]].tolist()]
 
     def keys(self, width: int) -> np.ndarray:
-        own = [t for t, part in zip(self.tokens, self.words, strict=True) if min(SHINGLE, len(part)) == width]
-        return np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+        """Shingles of that many words of the items, ends and beginnings of neighbours among them."""
+        return np.unique(_runs(self.flat, width))
 
-    def prefix_index(self, counts: dict[int, int]) -> dict[int, tuple[_Lookup, list[list[tuple[int, int]]]]]:
-        """By shingle width: the rarest shingles, and for each the (window, offset) it stands for."""
+    def prefix_index(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, _Prefixes]:
+        """By shingle width: the windows by their rarest shingle; ties go to the smaller hash, then to the first."""
         out = {}
         for width in self.widths:
-            chosen: dict[int, list[tuple[int, int]]] = {}
-            for k, (tokens, part) in enumerate(zip(self.tokens, self.words, strict=True)):
-                if min(SHINGLE, len(part)) == width:
-                    offset = min(range(len(tokens)), key=lambda j: (counts.get(int(tokens[j]), 0), int(tokens[j])))
-                    chosen.setdefault(int(tokens[offset]), []).append((k, offset))
-            lookup = _Lookup(np.array(list(chosen), np.uint64))
-            out[width] = (lookup, [chosen[int(t)] for t in lookup.keys])
+            tokens = _runs(self.flat, width)
+            known, seen = counts.get(width, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            distinct, at = np.unique(tokens, return_inverse=True)
+            n = np.zeros(len(distinct), np.int64)
+            n[np.searchsorted(distinct, known)] = seen
+            rank = np.empty(len(distinct), np.int64)
+            rank[np.lexsort((distinct, n))] = np.arange(len(distinct))
+            rank = rank[at]
+            own = np.flatnonzero(self.width == width)
+            offset = np.zeros(len(own), np.int64)
+            for a in range(0, len(own), 1 << 16):
+                part = own[a : a + (1 << 16)]
+                steps = np.arange(self.length[part].max() - width + 1)
+                inside = steps <= (self.length[part] - width)[:, None]
+                places = np.where(inside, self.start[part][:, None] + steps, 0)
+                offset[a : a + len(part)] = np.where(inside, rank[places], len(distinct)).argmin(1)
+            out[width] = _Prefixes(tokens[self.start[own] + offset], own, offset)
         return out
 
 
+class _Prefixes:
+    """Windows by prefix shingle: those of lookup.keys[i] are window[cut[i]:cut[i + 1]], each with the shingle's place in it."""
+
+    def __init__(self, tokens: np.ndarray, window: np.ndarray, offset: np.ndarray):
+        order = np.argsort(tokens, kind="stable")
+        self.lookup = _Lookup(tokens)
+        self.window, self.offset = window[order].astype(np.int32), offset[order].astype(np.int32)
+        self.cut = np.searchsorted(tokens[order], self.lookup.keys)
+        self.cut = np.append(self.cut, len(tokens))
+
+    def candidates(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place where the window would begin, window) for each hit."""
+        at, key = self.lookup.find(values)
+        n = self.cut[key + 1] - self.cut[key]
+        entry = np.repeat(self.cut[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n) - self.offset[entry], self.window[entry].astype(np.int64)
+
+
 def _count(lookups: dict[int, _Lookup]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {width: np.zeros(len(lookup.keys), np.int64) for width, lookup in lookups.items()}
@@ -116,33 +164,36 @@ def _count(lookups: dict[int, _Lookup]) -> Callable:
     return run
 
 
-def shingle_counts(documents: DataFrame, text: str, keys: dict[int, np.ndarray]) -> dict[int, int]:
-    """Occurrences of the given shingles over all documents; no more rows come back than keys are given."""
+def shingle_counts(documents: DataFrame, text: str, keys: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(shingle, occurrences over all documents) of the given shingles, by width; no more rows come back than keys are given."""
     lookups = {width: _Lookup(k) for width, k in keys.items()}
-    rows = pick(documents, text=text).mapInArrow(_count(lookups), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    return {r["token"] & (1 << 64) - 1: r["n"] for r in rows}
-
-
-def _occurrences(w: Words, windows: Windows, index: dict) -> list[tuple[int, int, int]]:
-    """(first word in the chunk, end, window) of every window that occurs inside one row."""
-    out = []
-    row_of = None
-    for width, (lookup, places) in index.items():
-        at, keys = lookup.find(_runs(w.hashes, width))
-        for pos, key in zip(at.tolist(), keys.tolist(), strict=True):
-            for k, offset in places[key]:
-                part = windows.words[k]
-                a = pos - offset
-                b = a + len(part)
-                if a < 0 or b > len(w.hashes):
-                    continue
-                if row_of is None:
-                    row_of = np.searchsorted(w.first, np.arange(len(w.hashes)), "right") - 1
-                if row_of[a] == row_of[b - 1] and np.array_equal(w.hashes[a:b], part):
-                    out.append((a, b, k))
+    rows = pick(documents, text=text).mapInArrow(frugal(_count(lookups)), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    token, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    out = {}
+    for width, k in keys.items():
+        own = np.isin(token, k)
+        order = np.argsort(token[own])
+        out[width] = token[own][order], n[own][order]
     return out
 
 
+def _occurrences(w: Words, windows: Windows, index: dict[int, _Prefixes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word in the row, window) of every window that occurs inside one row."""
+    found = []
+    for width, prefixes in index.items():
+        at, k = prefixes.candidates(_runs(w.hashes, width))
+        good = (at >= 0) & (at + windows.length[k] <= len(w.hashes))
+        at, k = at[good], k[good]
+        row = np.searchsorted(w.first, at, "right") - 1
+        good = at + windows.length[k] <= w.first[row + 1]
+        at, k, row = at[good], k[good], row[good]
+        for j in range(int(windows.length[k].max(initial=0))):
+            good = (j >= windows.length[k]) | (w.hashes[np.minimum(at + j, len(w.hashes) - 1)] == windows.flat[np.minimum(windows.start[k] + j, len(windows.flat) - 1)])
+            at, k, row = at[good], k[good], row[good]
+        found.append((row, at - w.first[row], k))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -156,20 +207,19 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _HITS_TYPE = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
-def _annotate(windows: Windows, index: dict, text: str, names_out: list[str]) -> Callable:
+def _annotate(windows: Windows, index: dict[int, _Prefixes], text: str, names_out: list[str], hits_in: str | None, hits_out: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
             names = b.schema.names
-            before = b.column(names.index("__hits")).to_pylist() if "__hits" in names else [None] * b.num_rows
+            before = b.column(names.index(hits_in)).to_pylist() if hits_in else [None] * b.num_rows
             hits: list[dict] = []
             for first, w in words(b.column(names.index(text)), ALNUM):
                 n = np.diff(w.first).tolist()
                 spans: dict[int, list] = {}
                 items: dict[int, set] = {}
-                for a, e, k in _occurrences(w, windows, index):
-                    i = int(np.searchsorted(w.first, a, "right")) - 1
-                    spans.setdefault(i, []).append((a - int(w.first[i]), e - int(w.first[i])))
-                    items.setdefault(i, set()).update(windows.items[k])
+                for i, a, k in zip(*(x.tolist() for x in _occurrences(w, windows, index)), strict=True):
+                    spans.setdefault(i, []).append((a, a + int(windows.length[k])))
+                    items.setdefault(i, set()).update(windows.items_of(k))
                 for i in range(len(w)):
                     old = before[first + i]
                     own, ids = spans.get(i, []), items.get(i, set())
@@ -177,37 +227,41 @@ def _annotate(windows: Windows, index: dict, text: str, names_out: list[str]) ->
                         own = own + [(s["start"], s["end"]) for s in old["spans"]]
                         ids = ids | set(old["items"])
                     hits.append({"n_words": n[i], "spans": [{"start": s, "end": e} for s, e in _merge(own)], "items": sorted(ids)})
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(name)) for name in names_out), pa.array(hits, _HITS_TYPE)], [*names_out, "__hits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(name)) for name in names_out), pa.array(hits, _HITS_TYPE)], [*names_out, hits_out])
 
     return run
 
 
-def annotate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
-    """The documents' columns, or those to keep, and __hits (HITS): the number of words, merged spans of hit words, and the items hit, sorted as strings."""
+def annotate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 8 << 20, keep: list[str] | None = None, hits: str = "hits") -> DataFrame:
+    """The documents' columns, or those to keep, and `hits` (HITS): the number of words, merged spans of hit words, and the items hit, sorted as strings."""
+    keep = documents.columns if keep is None else keep
+    if hits.lower() in {c.lower() for c in keep}:
+        raise ValueError(f"the documents have a column {hits}: name another one for the hits")
     items = pick(benchmark, id=item_id, text=item_text).select(F.col("id").cast("string").alias("id"), "text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes)
-    out, keep = documents, documents.columns if keep is None else keep
-    if not blocks:
-        blocks = 1
+    blocks = max(1, -(-size // block_bytes))
+    read = list(dict.fromkeys([*keep, text]))
+    out, [between] = documents.select(*(F.col(f"`{c}`") for c in read)), free(documents, "hits")
     for block in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
         windows = Windows([(r["id"] or "", r["text"]) for r in own.collect()], window)
-        counts = shingle_counts(documents, text, {width: windows.keys(width) for width in windows.widths}) if windows.words else {}
-        names = keep if block == blocks - 1 else documents.columns
-        out = out.mapInArrow(_annotate(windows, windows.prefix_index(counts), text, names), f"{ddl(documents, names)}, __hits {HITS}")
+        counts = shingle_counts(documents, text, {width: windows.keys(width) for width in windows.widths}) if len(windows) else {}
+        last = block == blocks - 1
+        names, name = (keep, hits) if last else (read, between)
+        out = out.mapInArrow(frugal(_annotate(windows, windows.prefix_index(counts), text, names, between if block else None, name)), f"{ddl(documents, names)}, `{name}` {HITS}")
     return out
 
 
-def n_hit() -> F.Column:
-    return F.aggregate("__hits.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+def n_hit(hits: str = "hits") -> F.Column:
+    return F.aggregate(f"{hits}.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
 
 
-def contaminated(share: int = 20) -> F.Column:
+def contaminated(share: int = 20, hits: str = "hits") -> F.Column:
     """At least one word in `share` is hit."""
-    return (n_hit() > 0) & (share * n_hit() >= F.col("__hits.n_words"))
+    return (n_hit(hits) > 0) & (share * n_hit(hits) >= F.col(f"{hits}.n_words"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", share: int = 20, **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return annotate(documents, benchmark, text=text, **options).filter(~contaminated(share)).select(*(F.col(f"`{c}`") for c in documents.columns))
+    [hits] = free(documents, "hits")
+    return annotate(documents, benchmark, text=text, hits=hits, **options).filter(~contaminated(share, hits)).select(*(F.col(f"`{c}`") for c in documents.columns))

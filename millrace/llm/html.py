@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import pick, slices, strings
+from .arrow import frugal, pick, slices, strings
 
 # Elements by their kind in HTML.
 RAW = ("script", "style", "noscript", "template", "textarea", "select", "svg", "iframe", "object", "xmp", "noembed", "noframes")
@@ -339,4 +339,4 @@ def extract(pages: DataFrame, field: Field, *, page_id: str = "page_id", url: st
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    return source.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return source.mapInArrow(frugal(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

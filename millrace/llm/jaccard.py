@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import free, pick
+from .arrow import free, frugal, pick
 from .components import components
 from .store import discard, materialize
 from .words import BLANKS, mix, shingles, words
@@ -157,7 +157,7 @@ def _common(k: int, share: float):
                 for i in range(len(w)):
                     new.append(np.unique(shingles(w.row(i), k)))
                     held += len(new[-1])
-                if held > 1 << 20:
+                if held > 1 << 19:
                     fold()
         if held:
             fold()
@@ -172,7 +172,7 @@ def common_shingles(texts: DataFrame, k: int, share: float) -> tuple[np.ndarray,
 
     They only steer which lists are made; answers do not depend on them.
     """
-    counts = texts.mapInArrow(_common(k, share), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(frugal(_common(k, share)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     docs, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     return np.sort(counts.filter(F.col("n") >= max(4.0, share * docs)).select("shingle").toArrow().column(0).to_numpy().view(np.uint64)), size
 
@@ -434,8 +434,8 @@ def _found(documents: DataFrame, doc_id: str, text: str, k: int, num: int, den:
     # A bucket holds the lists of about 8 MB of text, a partition those of 128 MB at most.
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 27)
     buckets = max(8 * partitions, size >> 23)
-    sketched = source.mapInArrow(_sketch(k, num, den, buckets, common), _OUT_DDL).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    met = materialize(sketched.mapInArrow(_meet(Levels(num, den).reach), _OUT_DDL.split("int, ", 1)[1].rsplit(",", 1)[0]), "jaccard-sets")
+    sketched = source.mapInArrow(frugal(_sketch(k, num, den, buckets, common)), _OUT_DDL).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    met = materialize(sketched.mapInArrow(frugal(_meet(Levels(num, den).reach)), _OUT_DDL.split("int, ", 1)[1].rsplit(",", 1)[0]), "jaccard-sets")
     rows = met.filter("n is not null")
     of_set = rows.filter("n > 0 and rid = rep").groupBy("n", "s1", "s2").agg(F.min("rid").alias("cid"))
     reps = materialize(rows.filter("n > 0 and rid = rep").join(of_set, ["n", "s1", "s2"]).select("rid", "cid", "n", "doc_id", "th"), "jaccard-reps")
@@ -449,7 +449,7 @@ def _found(documents: DataFrame, doc_id: str, text: str, k: int, num: int, den:
     # Merged at every size: the members grow with the documents, so they are never broadcast.
     texts = source.alias("s").join(tasks.hint("merge").alias("t"), F.expr("s.th = t.th and s.doc_id <=> t.doc_id")).select("t.g", "t.low", "t.high", "t.cid", "t.block", "t.copies", "s.text")
     texts = texts.repartition(partitions, "g", "low", "high").sortWithinPartitions("g", "low", "high", "cid")
-    links = materialize(texts.mapInArrow(_verify(k, num, den), "a bigint, b bigint, links bigint"), "jaccard-links")
+    links = materialize(texts.mapInArrow(frugal(_verify(k, num, den)), "a bigint, b bigint, links bigint"), "jaccard-links")
     joined = components(links.filter("a <> b").select("a", "b"))
     counts = links.filter("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     named = classes.join(joined, classes["cid"] == joined["node"], "left").select("cid", "copies", "least", F.coalesce("label", "cid").alias("component"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .arrow import pick
+from .arrow import frugal, pick
 from .store import new_path
 
 BLOCK = 64
@@ -303,7 +303,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(members: DataFrame) -> DataFrame:
     """id, and what the stored bytes say: lengths, digests and features."""
-    return members.select("id", "media").mapInArrow(_describe, "id string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return members.select("id", "media").mapInArrow(frugal(_describe), "id string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def round_trip(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pick
+from .arrow import free, pick
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "card_like", "phone_like")
@@ -252,11 +252,11 @@ def added_spans(text: Column, base: Column, trees: Trees) -> Column:
     return F.transform(chosen, lambda x: F.struct(F.element_at(kinds, x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
-def with_spans(documents: DataFrame, trees: Trees, *, text: str = "text") -> DataFrame:
-    """The documents with __base and __spans (all of them, the base ones first by kind and start)."""
+def with_spans(documents: DataFrame, trees: Trees, *, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """The documents with two more columns, SPANS each: the base spans, and all of them (the base ones first, by kind and start)."""
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = documents.withColumn("__base", base_spans(value))
-    return out.withColumn("__spans", F.concat("__base", added_spans(value, F.col("__base"), trees)))
+    out = documents.withColumn(base, base_spans(value))
+    return out.withColumn(spans, F.concat(base, added_spans(value, F.col(base), trees)))
 
 
 def written(spans: str) -> Column:
@@ -267,7 +267,8 @@ def written(spans: str) -> Column:
 def redact(documents: DataFrame, trees: Trees, *, text: str = "text") -> DataFrame:
     """The documents with all their columns; spans in the text, overlapping ones together, become [KIND] of the first."""
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    base, spans = free(documents, "base", "spans")
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
@@ -275,6 +276,6 @@ def redact(documents: DataFrame, trees: Trees, *, text: str = "text") -> DataFra
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(value, acc["at"] + 1, F.length(value))))
-    out = with_spans(documents, trees, text=text)
-    replaced = F.when(F.size("__spans") > 0, done).otherwise(F.col(f"`{text}`"))
+    out = with_spans(documents, trees, text=text, base=base, spans=spans)
+    replaced = F.when(F.size(spans) > 0, done).otherwise(F.col(f"`{text}`"))
     return out.select(*(replaced.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns))

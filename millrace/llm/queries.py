@@ -29,8 +29,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.with_spans(documents, pii.learn(documents))
-    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.written("__base"), 256).alias("base_sha256"), pii.written("__spans").alias("spans"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate as d
 
     hits = d.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return hits.select("doc_id", F.col("__hits.n_words").alias("n_words"), d.n_hit().alias("n_hit"), F.size("__hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join("__hits.items", ","), 256).alias("items_sha256"), d.contaminated().alias("contaminated"))
+    return hits.select("doc_id", F.col("hits.n_words").alias("n_words"), d.n_hit().alias("n_hit"), F.size("hits.items").cast("bigint").alias("n_items"), F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), d.contaminated().alias("contaminated"))
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

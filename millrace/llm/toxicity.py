@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
-Folding lower-cases, replaces homoglyphs of Latin letters, undoes digit and
-symbol substitutions inside words, and makes everything else one blank, so that
+Folding lower-cases, turns compatibility letters (full-width, mathematical,
+circled) into plain ones, removes marks and characters without width, replaces
+homoglyphs of Latin letters, undoes digit and symbol substitutions inside words, and makes everything else one blank, so that
 terms can be anchored at the start (` term`) or at both ends (` term `) of a word.
 
 The lexicon is learned from labelled documents: word starts and whole words
@@ -27,6 +28,7 @@ import hashlib
 import heapq
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import ddl, pick, slices, strings
+from .arrow import ddl, free, frugal, pick, slices, strings
 from .store import materialize
 
 # Letters of other scripts that look like Latin ones, and usual substitutions.
@@ -50,6 +52,10 @@ _EDGES = re.compile(r"^(?:[\W_]{2,}|[^\w@$])|[\W_]+$")
 _OTHER = re.compile(r"[\W_]+")
 
 
+# Combining marks and characters without width, which are written into words to hide them.
+_HIDDEN = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
+
+
 def _undo(match: re.Match) -> str:
     word = _EDGES.sub("", match[0])
     return word.translate(SUBSTITUTES) if any(c.isalpha() for c in word) else word
@@ -59,7 +65,10 @@ def fold(text: str) -> str:
     """Words of the folded text, each with one blank before and after it."""
     text = text.lower()
     if not text.isascii():
-        text = text.translate(HOMOGLYPHS)
+        # Full-width, mathematical and circled letters become plain ones; letters with marks of usage stay composed.
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text).lower()
+        text = _HIDDEN.sub("", text).translate(HOMOGLYPHS)
     text = _LEET.sub(_undo, text)
     return " " + _OTHER.sub(" ", text).strip() + " "
 
@@ -122,15 +131,17 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def sample(documents: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, max_rows: int) -> DataFrame:
-    """toxic and text of the labelled documents to learn from, at most max_rows ids."""
+    """toxic and text of the labelled documents to learn from, at most max_rows; of a repeated id the text with the smallest hash."""
     chosen = pick(labels, id=doc_id, toxic=label).filter(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("id"))
     chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    return materialize(pick(documents, id=doc_id, text=text).join(F.broadcast(chosen), "id").select("toxic", F.coalesce("text", F.lit("")).alias("text")), "toxicity-sample")
+    found = pick(documents, id=doc_id, text=text).join(F.broadcast(chosen), "id").withColumn("text", F.coalesce("text", F.lit("")))
+    one = found.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))
+    return materialize(one.select("toxic", "x.text"), "toxicity-sample")
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, family) of toxic documents."""
-    for b in slices(batches):
+    for b in slices(batches, 32):
         terms, families = [], []
         for text in strings(b.column(0)):
             row = fold(text).split()
@@ -224,27 +235,27 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     if not n_pos or not n_neg:
         return Lexicon(bias=prior)
     # From here on families are counted, as for the terms.
-    families = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(_families, "toxic int, family bigint")
+    families = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(frugal(_families), "toxic int, family bigint")
     of = {r["toxic"]: r["n"] for r in families.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
     n_pos, n_neg = of.get(1, 0), of.get(0, 0)
     least = max(min_families, math.ceil(min_share * n_pos))
     counted = lambda df: {r["term"]: r["n"] for r in df.groupBy("term").agg(F.count_distinct("family").alias("n")).filter(F.col("n") >= F.lit(1)).collect()}
-    pos = {r["term"]: r["n"] for r in rows.filter("toxic > 0").select("text").mapInArrow(_terms, "term string, family bigint").groupBy("term").agg(F.count_distinct("family").alias("n")).filter(F.col("n") >= least).collect()}
+    pos = {r["term"]: r["n"] for r in rows.filter("toxic > 0").select("text").mapInArrow(frugal(_terms), "term string, family bigint").groupBy("term").agg(F.count_distinct("family").alias("n")).filter(F.col("n") >= least).collect()}
     if not pos:
         return Lexicon(bias=prior)
-    neg = counted(rows.filter("toxic <= 0").select("text").mapInArrow(_found(sorted(pos)), "term string, family bigint"))
+    neg = counted(rows.filter("toxic <= 0").select("text").mapInArrow(frugal(_found(sorted(pos))), "term string, family bigint"))
     lexicon = Lexicon(_choose(pos, neg, n_pos, n_neg, min_log_odds))
     labelled = rows.select(F.col("toxic").cast("int").alias("toxic"), "text")
-    seen = labelled.mapInArrow(_contexts(lexicon), "phrase string, toxic int, family bigint").groupBy("phrase").agg(F.count_distinct(F.when(F.col("toxic") > 0, F.col("family"))).alias("pos"), F.count_distinct(F.when(F.col("toxic") <= 0, F.col("family"))).alias("neg"))
+    seen = labelled.mapInArrow(frugal(_contexts(lexicon)), "phrase string, toxic int, family bigint").groupBy("phrase").agg(F.count_distinct(F.when(F.col("toxic") > 0, F.col("family"))).alias("pos"), F.count_distinct(F.when(F.col("toxic") <= 0, F.col("family"))).alias("neg"))
     lexicon.exceptions = frozenset(r["phrase"] for r in seen.filter((F.col("neg") >= 2) & ((F.col("neg") + 0.5) * (n_pos + 1) > (F.col("pos") + 0.5) * (n_neg + 1))).collect())
-    points = np.array([tuple(r) for r in _apply(labelled, lexicon, ["toxic"]).select("toxic", "__by_sum", "__by_length").collect()], float)
+    points = np.array([tuple(r) for r in _apply(labelled, lexicon, ["toxic"]).drop("score").collect()], float)
     beta = _logistic(np.column_stack([np.ones(len(points)), points[:, 1:]]), (points[:, 0] > 0).astype(float))
     lexicon.bias, lexicon.slope_sum, lexicon.slope_rate = map(float, beta)
     return lexicon
 
 
-def _apply(documents: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns, __by_sum, __by_length and __score of the text column."""
+def _apply(documents: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text", names_of: tuple[str, str, str] = ("by_sum", "by_length", "score")) -> DataFrame:
+    """The kept columns, and under the given names the sum of weights, that by length, and the score of the text column."""
     names = keep if text in keep else [*keep, text]
     at = names.index(text)
 
@@ -253,18 +264,18 @@ def _apply(documents: DataFrame, lexicon: Lexicon, keep: list[str], text: str =
         for b in slices(batches):
             found = [lexicon.features(automaton, t) for t in strings(b.column(at))]
             sums, rates = [x[0] for x in found], [x[1] for x in found]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(sums, pa.float64()), pa.array(rates, pa.float64()), pa.array([lexicon.score(*x) for x in found], pa.float64())], [*keep, "__by_sum", "__by_length", "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(sums, pa.float64()), pa.array(rates, pa.float64()), pa.array([lexicon.score(*x) for x in found], pa.float64())], [*keep, *names_of])
 
     source = documents.select(*(F.col(f"`{c}`") for c in names))
-    return source.mapInArrow(run, f"{ddl(source, keep)}, __by_sum double, __by_length double, __score double")
+    return source.mapInArrow(frugal(run), ", ".join([ddl(source, keep), *(f"`{name}` double" for name in names_of)]))
 
 
 def score(documents: DataFrame, lexicon: Lexicon, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of every document."""
-    return _apply(pick(documents, doc_id=doc_id, text=text), lexicon, ["doc_id"]).select("doc_id", F.col("__score").alias("score"))
+    return _apply(pick(documents, doc_id=doc_id, text=text), lexicon, ["doc_id"]).select("doc_id", "score")
 
 
 def reject(documents: DataFrame, lexicon: Lexicon, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The documents with a score below the threshold, with all their columns."""
-    names = documents.columns
-    return _apply(documents, lexicon, names, text).filter(F.col("__score") < threshold).select(*(F.col(f"`{c}`") for c in names))
+    names, own = documents.columns, free(documents, "by_sum", "by_length", "score")
+    return _apply(documents, lexicon, names, text, tuple(own)).filter(F.col(own[2]) < threshold).select(*(F.col(f"`{c}`") for c in names))

@@ -10,7 +10,7 @@ DDL = "doc_id BIGINT, text STRING"
 def documents(spark, rows=TEXTS):
     """With columns named like those the operators make."""
     df = spark.createDataFrame(rows, DDL)
-    clashing = ("score", "ids", "n_tokens", "component", "rid", "th", "label", "node", "block", "cid", "held_out", "id", "s", "u")
+    clashing = ("score", "ids", "n_tokens", "component", "rid", "th", "label", "node", "block", "cid", "held_out", "id", "s", "u", "hits", "base", "spans", "__hits", "__score", "__by_sum", "__by_length", "__base", "__spans", "__key", "__hash", "__kept_key", "__th", "__id", "__many")
     return df.withColumns({c: F.lit("x") for c in clashing} | {"source": F.lit(None).cast("string")})
 
 

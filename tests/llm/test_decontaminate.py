@@ -37,7 +37,7 @@ def brute(docs, items, window=13):
 def found(docs, items, **options):
     from pyspark.sql import functions as F
 
-    out = decontaminate.annotate(docs, items, **options).select("doc_id", F.col("__hits.n_words"), decontaminate.n_hit().alias("h"), F.col("__hits.items"))
+    out = decontaminate.annotate(docs, items, keep=["doc_id"], **options).select("doc_id", F.col("hits.n_words"), decontaminate.n_hit().alias("h"), F.col("hits.items"))
     return sorted((tuple(r) for r in out.collect()), key=repr)
 
 

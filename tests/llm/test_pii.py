@@ -49,7 +49,7 @@ def test_trees_add_secrets_with_a_cue_and_leave_words(spark):
     rows = [(i, f'the token = "{secret()}" here') for i in range(60)] + [(100 + i, "plain " + "wordwordwordwordwordword" + "abc"[i % 3]) for i in range(60)] + [(200, f"lone {secret()} end")]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     trees = pii.learn(df)
-    got = {r["doc_id"]: r["x"] for r in pii.with_spans(df, trees).select("doc_id", pii.written("__spans").alias("x")).collect()}
+    got = {r["doc_id"]: r["x"] for r in pii.with_spans(df, trees, spans="found").select("doc_id", pii.written("found").alias("x")).collect()}
     assert got[0] == "secret:13:53"
     assert not any(got[100 + i] for i in range(60))
 
@@ -78,7 +78,7 @@ def test_trees_decide_numbers_without_a_cue(spark):
     rows += [(3000 + i, f"reach us at +1 206-555-{i:04d} now") for i in range(300)] + [(4000, "reach us at 206-555-0199 now"), (4001, "tel: 206 555 0199")]
     df = documents(spark, rows)
     trees = pii.learn(df)
-    got = {r["doc_id"]: r["x"] for r in pii.with_spans(df, trees).select("doc_id", pii.written("__spans").alias("x")).collect()}
+    got = {r["doc_id"]: r["x"] for r in pii.with_spans(df, trees, spans="found").select("doc_id", pii.written("found").alias("x")).collect()}
     assert got[1000] == "card_like:10:29"
     assert got[4000] == "phone_like:12:24"
     assert got[4001] == "phone_like:5:17"

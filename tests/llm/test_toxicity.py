@@ -7,9 +7,17 @@ from .cases import documents, empty
 
 def test_folding():
     assert toxicity.fold("You 1D10T, ѕtuріd! $cum*** 1300") == " you idiot stupid scum 1300 "
+    assert toxicity.fold("ｓｔｕｐｉｄ 𝐢𝐝𝐢𝐨𝐭 sc\u200bum s\u0336t\u0336u\u0336p\u0336id été") == " stupid idiot scum stupid été "
     assert toxicity.fold("") == "  "
 
 
+def test_of_a_repeated_id_one_row_is_learned_from(spark):
+    df = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "doc_id BIGINT, toxic INT").filter(~toxicity.held_out())
+    rows = toxicity.sample(df, labels, doc_id="doc_id", text="text", label="toxic", max_rows=10)
+    assert rows.count() == labels.filter("doc_id < 3").count()
+
+
 def test_exceptions_do_not_count():
     lexicon = toxicity.Lexicon({" clown": 4.0}, frozenset({"clown fish"}), 1.0, 0.0, -2.0)
     matcher = lexicon.matcher()
