@@ -3,10 +3,12 @@
 `ArchiveSource` is a Spark data source over folders of zip archives.  Written
 rows become members: 8-bit mono WAV files, deflated, whose samples are the
 payload's bytes; each task writes archives of its own, and the commit lists the
-finished ones in a manifest, so what failed or repeated tasks left is never
-read.  For reading, the driver plans byte ranges over the listed archives from
-their sizes alone; a task takes its range's members from the archive's directory
-and streams them in Arrow batches of bounded size.  A member that cannot be
+finished ones in a manifest of that write, so what failed or repeated tasks left
+is never read, and later writes add to earlier ones.  For reading, the driver plans
+byte ranges over the listed archives from their sizes alone: large archives are
+split, small ones put together, and with MOST_RANGES of them ranges grow instead.
+A task takes its members from the archives' directories and streams them in Arrow
+batches of bounded size.  A member that cannot be
 read, or whose checksum is wrong, is read again from its own offset, with a file
 opened anew, without touching the members around it.
 
@@ -40,6 +42,8 @@ from .arrow import frugal, pick
 from .store import new_path
 
 BLOCK = 64
+#: Byte ranges of a read at most.
+MOST_RANGES = 10_000
 SCHEMA = "id string, archive string, offset bigint, media binary"
 _ARROW = pa.schema([("id", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary())])
 _LOCAL = struct.Struct("<4sHHHHHIIIHH")
@@ -131,8 +135,8 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.archive_bytes = int(options.get("archive_bytes", 64 << 20))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
@@ -152,10 +156,19 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, name = _open(self.path)
         system.create_dir(name, recursive=True)
-        with system.open_output_stream(f"{name}/manifest.json") as out:
+        old = _manifests(system, name) if self.overwrite else []
+        new = f"{name}/manifest-{uuid.uuid4().hex}.jsonl"
+        # Under its name only when it is complete.
+        with system.open_output_stream(f"{new}.part") as out:
             for m in messages:
                 for archive in m.archives if m else []:
                     out.write(json.dumps(archive).encode() + b"\n")
+        system.move(f"{new}.part", new)
+        for path in old:
+            gone = _listed(system, path)
+            system.delete_file(path)
+            for archive in gone:
+                system.delete_file(_open(archive["path"])[1])
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -164,13 +177,22 @@ class _Writer(DataSourceArrowWriter):
                 system.delete_file(name)
 
 
+def _manifests(system, name: str) -> list[str]:
+    """Of all writes, in order of their names."""
+    found = system.get_file_info(fs.FileSelector(name, allow_not_found=False))
+    return sorted(f.path for f in found if f.base_name.startswith("manifest-") and f.base_name.endswith(".jsonl"))
+
+
+def _listed(system, path: str) -> list[dict]:
+    with system.open_input_stream(path) as f:
+        return [json.loads(line) for line in f.read().splitlines()]
+
+
 @dataclass
 class Range(InputPartition):
-    """Members of one archive that begin in [start, end)."""
+    """(archive, start, end): the members of archives that begin in [start, end)."""
 
-    archive: dict
-    start: int
-    end: int
+    pieces: list[tuple[dict, int, int]]
 
 
 class Reader(DataSourceReader):
@@ -183,9 +205,19 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         system, name = _open(self.path)
-        with system.open_input_stream(f"{name}/manifest.json") as f:
-            archives = [json.loads(line) for line in f.read().splitlines()]
-        return [Range(a, start, min(start + self.range_bytes, a["directory"])) for a in archives for start in range(0, a["directory"], self.range_bytes)] or [Range({"path": "", "members": 0}, 0, 0)]
+        archives = [a for path in _manifests(system, name) for a in _listed(system, path)]
+        size = max(self.range_bytes, -(-sum(a["directory"] for a in archives) // MOST_RANGES))
+        out, now, room = [], [], size
+        for a in archives:
+            at = 0
+            while at < a["directory"]:
+                end = min(at + room, a["directory"])
+                now.append((a, at, end))
+                room, at = room - (end - at), end
+                if not room:
+                    out.append(Range(now))
+                    now, room = [], size
+        return [*out, Range(now)] if now or not out else out
 
     def open(self, path: str):
         system, name = _open(path)
@@ -219,20 +251,28 @@ class Reader(DataSourceReader):
         return media
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        archive = partition.archive
-        if not archive["members"]:
-            return
-        path = archive["path"]
-        directory = self._again(lambda: self._directory(archive), f"the directory of {path}")
         rows: list[tuple] = []
-        held = at = 0
+        held = 0
+        for archive, start, end in partition.pieces:
+            for row in self._members(archive, start, end):
+                rows.append(row)
+                held += len(row[3])
+                if held >= self.batch_bytes:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _members(self, archive: dict, start: int, end: int) -> Iterator[tuple]:
+        path, at = archive["path"], 0
+        directory = self._again(lambda: self._directory(archive), f"the directory of {path}")
         shared = self._again(lambda: self.open(path), path)
         while at < len(directory):
             e = _ENTRY.unpack_from(directory, at)
             crc, packed, size, n_name, n_extra, n_note, offset = e[7], e[8], e[9], e[10], e[11], e[12], e[16]
-            note = directory[at + _ENTRY.size + n_name + n_extra :][:n_note] if n_note else b""
+            note = directory[at + _ENTRY.size + n_name + n_extra : at + _ENTRY.size + n_name + n_extra + n_note] if n_note else b""
             at += _ENTRY.size + n_name + n_extra + n_note
-            if not partition.start <= offset < partition.end:
+            if not start <= offset < end:
                 continue
             try:
                 media = self.member(shared, offset, packed, size, crc)
@@ -243,14 +283,8 @@ class Reader(DataSourceReader):
                         return self.member(f, offset, packed, size, crc)
 
                 media = self._again(anew, f"member at {offset} of {path}")
-            rows.append((note[1:].decode() if note else None, path, offset, media))
-            held += len(media)
-            if held >= self.batch_bytes:
-                yield _batch(rows)
-                rows, held = [], 0
+            yield note[1:].decode() if note else None, path, offset, media
         shared.close()
-        if rows:
-            yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -271,16 +305,16 @@ class ArchiveSource(DataSource):
         return Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
 # ---- operator
 
-def store(documents: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", **options) -> None:
-    """Writes every whole text, in UTF-8, as a member."""
+def store(documents: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", mode: str = "append", **options) -> None:
+    """Writes every whole text, in UTF-8, as a member; mode `append` adds to what is there, `overwrite` replaces it."""
     documents.sparkSession.dataSource.register(ArchiveSource)
     rows = pick(documents, id=doc_id, text=text).select(F.col("id").cast("string").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    rows.write.format("media_archives").mode("append").options(path=path, **{k: str(v) for k, v in options.items()}).save()
+    rows.write.format("media_archives").mode(mode).options(path=path, **{k: str(v) for k, v in options.items()}).save()
 
 
 def load(spark, path: str, **options) -> DataFrame:

@@ -48,6 +48,30 @@ def test_ranges_read_each_member_once(spark):
     assert sorted(int(r["id"]) for r in found.select("id").collect()) == list(range(500))
 
 
+def test_writes_add_up(spark):
+    path = store.new_path(spark, "test")
+    one = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id BIGINT, text STRING")
+    ids = lambda: sorted(int(r["id"]) for r in media.load(spark, path).select("id").collect())
+    media.store(one(1, 2), path)
+    media.store(one(3, 4), path)
+    media.store(one(), path)
+    assert ids() == [1, 2, 3, 4]
+    media.store(one(5), path, mode="overwrite")
+    assert ids() == [5]
+
+
+def test_ranges_hold_many_archives_and_are_bounded(spark, monkeypatch):
+    path = store.new_path(spark, "test")
+    rows = spark.range(300).repartition(6).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    media.store(rows, path, archive_bytes=500)
+    assert media.load(spark, path).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(media, "MOST_RANGES", 7)
+    reader = media.Reader({"path": path, "range_bytes": "10"})
+    plan = reader.partitions()
+    assert len(plan) == 7
+    assert sorted(int(i) for r in plan for b in reader.read(r) for i in b.column(0).to_pylist()) == list(range(300))
+
+
 class _Failing(media.Reader):
     """Every file breaks after a few reads, as often as told."""
 
