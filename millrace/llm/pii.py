@@ -2,7 +2,8 @@
 
 Base spans are those of four fixed patterns with a check each.  High-recall
 generators propose further spans, which may overlap: long runs of letters and
-digits (secrets), card-like numbers, and phone-like numbers without a plus.
+digits with dots or hyphens (secrets), card-like numbers, groups of digits as in
+national phone numbers, and account numbers in the form of an IBAN.
 Boosted trees score them by format and context features, all of few values, so
 the training data is one table of feature combinations with their counts over
 all documents: never more than FEATURE_BOUND rows.  The trees are fitted to that
@@ -13,9 +14,14 @@ candidates have the wanted precision against their weak labels.
 Weak labels, none of which is a feature: a candidate is positive if a cue of its
 kind (`token =`, `card`, `tel`, ...) stands just before it, a card-like one also if
 it passes Luhn's check, a phone-like one also if it belongs to a number with a
-plus.  The trees see format and the kind of character before the candidate, and so
-carry labels over to candidates without any.  A card- or phone-like candidate with
-a cue is a span by that rule; the trees decide the others, and all secrets.
+plus, an account number if its check digits are right.  The trees see format and the
+kind of character before the candidate, and so carry labels over to candidates
+without any.  A card- or phone-like candidate with a cue and an account number with
+right check digits are spans by that rule; the trees decide the others, and all
+secrets.  A cue shows that a secret or phone number is one, but not every one has a
+cue: the share of cues that the trees expect, on the average of the candidates with
+one, is what true ones have, and the precision of these two kinds is counted in that
+unit, if it is a fifth at least.
 
 Positions are code points, ends exclusive.  Patterns never try a run from
 within, so that their time is linear in the text.
@@ -34,7 +40,10 @@ from pyspark.sql import functions as F
 from .arrow import free, pick
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("secret", "card_like", "phone_like")
+ADDED = ("secret", "card_like", "phone_like", "iban")
+#: Kinds whose labels are cues, which true ones may lack.
+BY_CUE = ("secret", "phone_like")
+LEAST_CUED = 0.2
 KINDS = BASE + ADDED
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -45,9 +54,10 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+",
+    "secret": r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_][A-Za-z0-9_.-]{19,}+",
     "card_like": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
-    "phone_like": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "phone_like": r"(?<![0-9+.,/-])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}+(?![0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
 }
 #: A cheap condition that every text with a match fulfils.
 _HINTS = {
@@ -55,14 +65,16 @@ _HINTS = {
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": lambda t: t.contains("+"),
-    "secret": lambda t: t.rlike(r"[A-Za-z0-9_]{20}"),
+    "secret": lambda t: t.rlike(r"[A-Za-z0-9_.-]{20}"),
     "card_like": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
-    "phone_like": lambda t: t.rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"),
+    "phone_like": lambda t: t.rlike(r"[0-9]{2}\)?[\x20./-]{1,2}[0-9]{2}"),
+    "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
 }
 _CUES = {
     "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key)\s*[=:]\s*[\"']?$",
     "card_like": r"(?i)(?:card|visa|karte|carte|tarjeta|iban|account)\W{0,4}$",
     "phone_like": r"(?i)(?:tel|phone|fax|mobile|call|telefon|t[ée]l[ée]phone)\W{0,4}$",
+    "iban": r"(?i)(?:iban|account|konto|compte|cuenta)\W{0,4}$",
 }
 _CONTEXT = 24
 
@@ -82,6 +94,18 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
 
 
+def right_check_digits(s: Column) -> Column:
+    """Whether an account number leaves 1 by 97, its first four characters put last and letters read as 10 to 35."""
+    plain = F.replace(s, F.lit(" "))
+    moved = F.split(F.concat(F.substring(plain, 5, 60), F.substring(plain, 1, 4)), "")
+
+    def add(total: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, (total * 100 + code - 55) % 97).otherwise((total * 10 + code - 48) % 97)
+
+    return F.aggregate(moved, F.lit(0), add) == 1
+
+
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 
@@ -95,6 +119,12 @@ def _valid(kind: str, s: Column) -> Column:
         return F.length(d).between(13, 19)
     if kind == "phone":
         return F.length(d).between(9, 15)
+    if kind == "phone_like":
+        return F.length(d).between(8, 12)
+    if kind == "secret":
+        return F.length(s) >= 20
+    if kind == "iban":
+        return F.length(F.replace(s, F.lit(" "))).between(15, 34)
     return F.lit(True)
 
 
@@ -113,6 +143,10 @@ def matches(text: Column, kind: str) -> Column:
         return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["s"].alias("s")))).alias("out"))
 
     placed = F.aggregate(F.filter(pairs, lambda x: x["s"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), place)["out"]
+    if kind == "secret":
+        # Dots and hyphens at the end are the text's.
+        trimmed = lambda m: F.regexp_replace(m["s"], r"[.-]++$", "")
+        placed = F.transform(placed, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(trimmed(m))).alias("end"), trimmed(m).alias("s")))
     return F.when(_HINTS[kind](text), F.filter(placed, lambda m: _valid(kind, m["s"]))).otherwise(empty)
 
 
@@ -136,17 +170,24 @@ def _features(kind: str, m: Column, text: Column) -> Column:
         label = cue | before.rlike(r"\+[0-9][\x20().0-9-]*$")
         # What is before a number with a plus, not the plus, is its context.
         before = F.regexp_replace(before, r"\+[0-9][\x20().0-9-]*$", "")
+    elif kind == "iban":
+        label = right_check_digits(s)
+        cue = label
+    # The context is what stands before the cue, so that it does not tell of it.
+    before = F.regexp_replace(before, _CUES[kind], "")
     marks = F.array_distinct(F.filter(F.split(F.regexp_replace(s, "[0-9()]", ""), ""), lambda c: c != ""))
     first = F.get(marks, F.lit(0))
-    turns = F.size(F.split(s, "(?<=[0-9])(?=[A-Za-z])")) - 1
+    # From digits to letters, or for phone numbers from group to group.
+    turns = F.size(F.split(s, r"[^0-9]+" if kind == "phone_like" else "(?<=[0-9])(?=[A-Za-z])")) - 1
     return F.struct(
         F.lit(ADDED.index(kind)).alias("kind"),
-        F.least(F.lit(7), F.floor(n / 8)).cast("int").alias("size"),
-        F.least(F.lit(5), F.floor(5 * digits / n)).cast("int").alias("digits"),
-        F.when(upper & lower, 2).when(upper | lower, 1).otherwise(0).alias("letters"),
+        F.least(F.lit(7), digits - 6 if kind == "phone_like" else F.floor(n / 8)).cast("int").alias("size"),
+        # Of phone numbers the lengths of the last and of the first group, and whether that is in brackets.
+        F.least(F.lit(5), F.length(F.regexp_extract(s, "[0-9]+$", 0)) if kind == "phone_like" else F.floor(5 * digits / n)).cast("int").alias("digits"),
+        (F.least(F.lit(4), F.length(F.regexp_extract(s, "[0-9]+", 0))) - 2 if kind == "phone_like" else F.when(upper & lower, 2).when(upper | lower, 1).otherwise(0)).alias("letters"),
         F.least(F.lit(5), turns).alias("turns"),
-        before.rlike("[\"']$").cast("int").alias("quoted"),
-        (F.lit(0) if kind == "secret" else F.when(F.size(marks) > 1, 4).when(first == " ", 1).when(first == "-", 2).when(first == ".", 3).otherwise(0)).alias("marks"),
+        (s.startswith("(") if kind == "phone_like" else before.rlike("[\"']$")).cast("int").alias("quoted"),
+        (F.lit(0) if kind in ("secret", "iban") else F.when(F.size(marks) > 1, 4).when(first == " ", 1).when(first == "-", 2).when(first == ".", 3).otherwise(0)).alias("marks"),
         (F.lit(0) if kind == "secret" else F.when(before.rlike(r"\p{L}\s*$"), 1).when(before.rlike(r"[:=#]\s*$"), 2).when(before.rlike(r"\S\s*$"), 3).otherwise(0)).alias("near"),
         (F.lit(False) if kind == "secret" else cue).alias("cued"),
         label.cast("int").alias("label"),
@@ -164,8 +205,8 @@ def candidates(text: Column) -> Column:
 class Trees:
     """Boosted regression trees of depth two for the logistic loss, on counted feature combinations."""
 
-    def __init__(self, rounds: int = 30, rate: float = 0.4, precision: float = 0.98, least: int = 20):
-        self.rounds, self.rate, self.precision, self.least = rounds, rate, precision, least
+    def __init__(self, rounds: int = 30, rate: float = 0.4, precision: float = 0.98, cued_precision: float = 0.98, least: int = 20):
+        self.rounds, self.rate, self.precision, self.cued_precision, self.least = rounds, rate, precision, cued_precision, least
         self.start = 0.0
         self.trees: list[tuple] = []
         self.thresholds: dict[int, float] = {}
@@ -185,12 +226,19 @@ class Trees:
             self.trees.append(tree)
             for i, r in enumerate(rows):
                 score[i] += self._value(tree, r)
-        for kind in range(len(ADDED)):
-            n = good = 0
+        for kind, name in enumerate(ADDED):
             ranked = sorted(((s, r["pos"], r["pos"] + r["neg"]) for s, r in zip(score, rows, strict=True) if r["kind"] == kind), reverse=True)
+            # (score, positive, all) from the highest score down to each.
+            steps, n, good = [], 0, 0
             for k, (s, a, b) in enumerate(ranked):
                 n, good = n + b, good + a
-                if (k + 1 == len(ranked) or ranked[k + 1][0] < s) and n >= self.least and good >= self.precision * n:
+                if k + 1 == len(ranked) or ranked[k + 1][0] < s:
+                    steps.append((s, good, n))
+            # What share of cues the trees expect of a candidate with a cue.
+            sure = sum(a / (1 + math.exp(-s)) for s, a, _ in ranked) / max(1, good)
+            unit = self.precision if name not in BY_CUE else self.cued_precision * sure if sure >= LEAST_CUED else math.inf
+            for s, good, n in steps:
+                if n >= self.least and good >= unit * n:
                     self.thresholds[kind] = s
         return self
 

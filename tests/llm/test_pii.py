@@ -83,3 +83,56 @@ def test_trees_decide_numbers_without_a_cue(spark):
     assert got[4000] == "phone_like:12:24"
     assert got[4001] == "phone_like:5:17"
     assert not any("card_like" in got[2000 + i] for i in range(300))
+
+
+def planted(seed=11):
+    """(text, kind, value or None): values of added kinds with and without a cue, and what only looks like them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def secret():
+        k = rng.randrange(4)
+        if k == 0:
+            return "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        if k == 1:
+            return "-".join("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12))
+        if k == 2:
+            return ".".join("".join(rng.choice(chars) for _ in range(n)) for n in (12, 20, 16))
+        return "sk_" + "".join(rng.choice(chars) for _ in range(32))
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int(body + "131400") % 97
+        whole = f"DE{check:02d}{body}"
+        return " ".join(whole[i : i + 4] for i in range(0, 22, 4)) if rng.random() < 0.5 else whole
+
+    phone = lambda: rng.choice(("({:03d}) {:03d}-{:04d}", "0{:02d} {:03d} {:05d}", "{:03d}/{:03d}.{:04d}")).format(rng.randrange(10, 99), rng.randrange(100, 999), rng.randrange(1000, 9999))
+    out = []
+    for _ in range(240):
+        for kind, value, cue in (("secret", secret(), rng.choice(("token = ", "api_key: ", ""))), ("phone_like", phone(), rng.choice(("tel: ", "call ", ""))), ("iban", iban(), rng.choice(("IBAN ", "")))):
+            before, after = " ".join(word() for _ in range(rng.randint(3, 20))), " ".join(word() for _ in range(rng.randint(3, 20)))
+            out.append((f"{before} {cue}{value} {after}", kind, value))
+        looks = rng.choice((f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:15", "-".join(word() for _ in range(9)), f"{rng.randint(10, 99)}/{rng.randint(10, 99)}/{rng.randint(1990, 2030)}", "x" * rng.randint(20, 60), "www.example.com.of.the.list", f"{rng.randint(10, 99)} {rng.randint(10, 99)} {rng.randint(10, 99)} {rng.randint(10, 99)} {rng.randint(10, 99)}"))
+        out.append((f"{word()} {looks} {word()} {word()}", None, None))
+    return out
+
+
+def test_recall_of_planted_spans(spark):
+    rows = planted()
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id BIGINT, text STRING")
+    out = pii.with_spans(df, pii.learn(df), spans="found").select("doc_id", "found").collect()
+    hit, wrong = {}, 0
+    for r in out:
+        text, kind, value = rows[r["doc_id"]]
+        own = {text[s["start"] : s["end"]] for s in r["found"]}
+        hit.setdefault(kind, []).append(value in own)
+        wrong += kind is None and bool(own)
+    assert {k: sum(x) / len(x) for k, x in hit.items() if k and sum(x) < 0.9 * len(x)} == {}
+    assert wrong <= 0.02 * len(hit[None])
+
+
+def test_check_digits(spark):
+    rows = [("DE89 3704 0044 0532 0130 00", True), ("GB82WEST12345698765432", True), ("DE89370400440532013001", False)]
+    df = spark.createDataFrame(rows, "s STRING, ok BOOLEAN").select("ok", pii.right_check_digits(F.col("s")).alias("got"))
+    assert all(r["ok"] == r["got"] for r in df.collect())
