@@ -19,12 +19,14 @@ def tokenizer_path() -> str:
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked at 0.9 on three-word shingles.  Without words: size 0, a class of its own; a null id names no class that has another."""
     from . import jaccard
 
     return jaccard.join(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", F.col("n_shingles"), "component_id", "n_links")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data.  Null and empty texts have none."""
     from . import pii
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,6 +36,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts.  Empty texts score as texts without hits; rows without a label are never learned from."""
     from . import toxicity
 
     documents = table(spark, sf_dir, "documents")
@@ -42,12 +45,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all texts' ids and of what they decode to.  Null and empty texts are the end alone."""
     from . import bpe
 
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents.  Null texts have no words; items of equal text each count."""
     from . import decontaminate as d
 
     hits = d.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -55,12 +60,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all URLs.  Null URLs and those without :// have empty host and path."""
     from . import urls
 
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted conversations and what is read back.  Null texts and roles are empty; rows of one turn go by role, then text; rows with a null conv_id are one conversation."""
     from . import chat
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -72,18 +79,21 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages.  Null and empty pages have the empty text."""
     from . import html
 
     return html.extract(table(spark, sf_dir, "pages"), html.learn())
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as 8-bit samples in archives and described from what is read back.  Null and empty texts: one block of zeros; repeated rows are members of their own."""
     from . import media
 
     return media.round_trip(table(spark, sf_dir, "documents")).withColumn("id", F.col("id").cast("bigint")).withColumnRenamed("id", "doc_id")
 
 
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts.  Null and empty texts are one end; rows with a null id are training rows."""
     from . import suffix_tree
 
     return suffix_tree.score(table(spark, sf_dir, "documents"))

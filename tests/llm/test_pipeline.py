@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 
+from .cases import documents
 from .test_decontaminate import brute as passages
 from .test_jaccard import brute as copies
 
@@ -31,3 +32,16 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert {"doc_id", "ids", "n_tokens"} <= set(out.columns)
     assert out.count() > 100
+
+
+def test_run_on_empty_and_on_odd_tables(spark, tmp_path):
+    ddl = {"labels": "doc_id BIGINT, quality INT, toxic INT", "benchmark": "item_id BIGINT, text STRING"}
+    for name, columns in ddl.items():
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    documents(spark).drop("ids", "n_tokens").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    # Copies of one text go; null and empty texts and those without words stay.
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 2, 3, 4, 6, 7, 8]
+    assert out.filter("doc_id IN (2, 3)").select("n_tokens").distinct().collect() == [(1,)]
