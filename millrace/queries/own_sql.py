@@ -142,6 +142,31 @@ def _merge(spark, d):
     return dml.merge(target, source, ["n_nationkey"], matched_update={"n_name": F.concat(F.col("s.n_name"), F.lit("*"))}, matched_delete=F.col("t.n_nationkey") == 12, insert_values={"n_nationkey": F.col("s.n_nationkey"), "n_name": F.col("s.n_name"), "n_regionkey": F.col("s.n_regionkey")}, insert_when=F.col("s.n_nationkey") != 20)
 
 
+def _merge_clauses(spark, d):
+    """Every third order is cut, moved or cancelled by any of two conditions; orders of another key are added."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    source = orders.filter("o_orderkey % 3 = 0").select((F.col("o_orderkey") + F.when(F.col("o_custkey") % 10 == 0, 100_000_000).otherwise(0)).alias("k"), F.col("o_custkey").alias("c"), (F.col("o_totalprice") / 2).alias("p"))
+    clauses = [
+        dml.When(True, None, F.col("t.o_totalprice") < 20000),
+        dml.When(True, {"o_orderstatus": F.lit("X"), "o_totalprice": F.col("s.p")}, F.col("t.o_orderstatus") == "F"),
+        dml.When(True, {"o_custkey": F.col("s.c") + 1}, F.col("t.o_orderstatus") == "O"),
+        dml.When(False, {"o_orderkey": F.col("s.k"), "o_custkey": F.col("s.c")}, F.col("s.c") % 20 == 0),
+        dml.When(False, {"o_orderkey": F.col("s.k"), "o_totalprice": F.lit(-1.0)}),
+    ]
+    return dml.merge_into(orders, source, (F.col("t.o_orderkey") == F.col("s.k")) & (F.col("t.o_custkey") == F.col("s.c")), clauses)
+
+
+def _cascade_levels(spark, d):
+    tables = {"customer": table(spark, d, "customer").select("c_custkey", "c_acctbal"), "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey"), "lineitem": table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")}
+    references = [dml.Reference("orders", ("o_custkey",), "customer", ("c_custkey",), "cascade"), dml.Reference("lineitem", ("l_orderkey",), "orders", ("o_orderkey",), "cascade")]
+    return dml.delete_from(tables, references, "customer", F.col("c_acctbal") < 0)["lineitem"]
+
+
+def _cascade_self(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey div 2").alias("parent"))
+    return dml.delete_from({"orders": orders}, [dml.Reference("orders", ("parent",), "orders", ("o_orderkey",), "cascade")], "orders", F.col("o_orderkey").isin(5, 12, 33))["orders"]
+
+
 def _foreign_key(spark, d):
     parents = table(spark, d, "customer").filter("c_custkey % 3 <> 0")
     return dml.check_foreign_key(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", parents, "c_custkey")
@@ -232,6 +257,14 @@ FRAMES = {
     "delete_cascade": (_cascade, "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0)"),
     "delete_set_null": (_set_null, "SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0) THEN o_custkey END AS o_custkey FROM {orders}"),
     "merge": (_merge, "SELECT n_nationkey, CASE WHEN n_nationkey BETWEEN 10 AND 14 THEN n_name || '*' ELSE n_name END AS n_name, n_regionkey FROM {nation} WHERE n_nationkey NOT IN (12, 20)"),
+    "merge_clauses": (_merge_clauses, """
+        WITH s AS (SELECT o_orderkey + CASE WHEN o_custkey % 10 = 0 THEN 100000000 ELSE 0 END AS k, o_custkey AS c, o_totalprice / 2 AS p FROM {orders} WHERE o_orderkey % 3 = 0)
+        SELECT o_orderkey, CASE WHEN k IS NOT NULL AND o_orderstatus = 'O' THEN c + 1 ELSE o_custkey END AS o_custkey, CASE WHEN k IS NOT NULL AND o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+               CASE WHEN k IS NOT NULL AND o_orderstatus = 'F' THEN p ELSE o_totalprice END AS o_totalprice
+        FROM {orders} LEFT JOIN s ON o_orderkey = k AND o_custkey = c WHERE k IS NULL OR o_totalprice >= 20000
+        UNION ALL SELECT k, CASE WHEN c % 20 = 0 THEN c END, NULL, CASE WHEN c % 20 = 0 THEN NULL ELSE -1.0 END FROM s WHERE k > 100000000"""),
+    "delete_cascade_levels": (_cascade_levels, "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_orderkey NOT IN (SELECT o_orderkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0))"),
+    "delete_cascade_self": (_cascade_self, "WITH RECURSIVE dead AS (SELECT o_orderkey AS k FROM {orders} WHERE o_orderkey IN (5, 12, 33) UNION SELECT o_orderkey FROM {orders} JOIN dead ON o_orderkey // 2 = k) SELECT o_orderkey, o_orderkey // 2 AS parent FROM {orders} WHERE o_orderkey NOT IN (SELECT k FROM dead)"),
     "foreign_key_check": (_foreign_key, "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_custkey % 3 <> 0)"),
     "check_constraint": (_check, "SELECT l_orderkey, l_linenumber, l_discount FROM {lineitem} WHERE NOT l_discount < 0.09"),
     "generated_column": (_generated, "SELECT l_orderkey, l_linenumber, l_quantity, round(l_quantity * 3, 2) AS gross FROM {lineitem}"),

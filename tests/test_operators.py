@@ -48,8 +48,54 @@ def test_paging_limits(spark):
 
 def test_merge_finds_double_matches(spark):
     target, source = spark.sql("SELECT 1 AS k, 'a' AS v"), spark.sql("SELECT * FROM VALUES (1, 'b'), (1, 'c') AS s(k, v)")
+    with pytest.raises(PySparkException, match="acts twice"):
+        dml.merge(target, source, ["k"], matched_update={"v": F.col("s.v")}).collect()
+    # Two pairs of which a clause takes one are no error.
+    once = dml.merge_into(target, source, F.col("t.k") == F.col("s.k"), [dml.When(True, {"v": F.col("s.v")}, F.col("s.v") == "c")])
+    assert [tuple(r) for r in once.collect()] == [(1, "c")]
+
+
+def test_merge_with_any_condition(spark):
+    target = spark.sql("SELECT * FROM VALUES (1, 'a'), (5, 'b'), (9, 'c'), (CAST(NULL AS INT), 'n') AS t(k, v)")
+    source = spark.sql("SELECT * FROM VALUES (0, 2, 'x'), (8, 20, 'y'), (30, 40, 'z'), (CAST(NULL AS INT), 1, 'w') AS s(lo, hi, v)")
+    clauses = [dml.When(True, None, F.col("s.v") == "y"), dml.When(True, {"v": F.concat("t.v", "s.v")}), dml.When(False, {"k": F.col("s.hi")}, F.col("s.lo") > 0)]
+    got = dml.merge_into(target, source, F.col("t.k").between(F.col("s.lo"), F.col("s.hi")), clauses).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, "ax"), (5, "b"), (None, "n"), (40, None)], key=repr)
+
+
+def test_cascades_over_levels_and_circles(spark):
+    staff = spark.sql("SELECT * FROM VALUES (1, CAST(NULL AS INT), 10), (2, 1, 10), (3, 2, 20), (4, 9, 20), (9, 4, 20) AS s(id, boss, unit)")
+    unit = spark.sql("SELECT * FROM VALUES (10, 1), (20, 4), (30, CAST(NULL AS INT)) AS u(unit, head)")
+    notes = spark.sql("SELECT * FROM VALUES ('a', 3), ('b', 9), ('c', CAST(NULL AS INT)) AS n(note, about)")
+    tables = {"staff": staff, "unit": unit, "notes": notes}
+    references = [dml.Reference("staff", ("boss",), "staff", ("id",), "cascade"), dml.Reference("staff", ("unit",), "unit", ("unit",), "cascade"), dml.Reference("unit", ("head",), "staff", ("id",), "cascade"), dml.Reference("notes", ("about",), "staff", ("id",), "set null")]
+    out = dml.delete_from(tables, references, "staff", F.col("id") == 1)
+    assert sorted(tuple(r) for r in out["staff"].collect()) == [(4, 9, 20), (9, 4, 20)]
+    assert sorted(r["unit"] for r in out["unit"].collect()) == [20, 30]
+    assert sorted((r["note"], r["about"] or 0) for r in out["notes"].collect()) == [("a", 0), ("b", 9), ("c", 0)]
+    out = dml.delete_from(tables, references, "unit", F.col("unit") == 20)
+    assert sorted(r["id"] for r in out["staff"].collect()) == [1, 2]
     with pytest.raises(dml.ConstraintError):
-        dml.merge(target, source, ["k"], matched_update={"v": F.col("s.v")})
+        dml.delete_from(tables, [*references[:3], dml.Reference("notes", ("about",), "staff", ("id",))], "staff", F.col("id") == 4)
+
+
+def test_numbering_keeps_every_row(spark):
+    rows = spark.range(1_000_000).select((F.col("id") * 7919 % 100_003).alias("x"), F.concat(F.lit("payload "), F.col("id")).alias("p"))
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        for order in ([F.col("x").desc()], []):
+            out = relational.numbered(rows, "n", order).agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("p")).first()
+            assert tuple(out) == (1_000_000, 1_000_000, 1, 1_000_000, 1_000_000)
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_range_join_with_wide_and_narrow_intervals(spark):
+    points = spark.range(0, 300).select((F.col("id") / 3).alias("at"))
+    spans = spark.sql("SELECT * FROM VALUES (0.0D, 0.0D), (-1e9D, 1e9D), (5.5D, 6.5D), (20.0D, 80.0D), (9.0D, 3.0D), (CAST(NULL AS DOUBLE), 4.0D) AS s(lo, hi)")
+    got = relational.range_join(points, spans, "at", "lo", "hi", 0.5)
+    want = points.join(spans, F.col("at").between(F.col("lo"), F.col("hi")))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_delete_restrict(spark):
