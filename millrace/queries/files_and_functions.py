@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..operators import relational
+from ..operators.cursor import Cursor
 from ..operators.materialize import scratch
 from ..sources import files
-from ..sources.functions import RestrictedSource, register_table_function, satisfies
+from ..sources.functions import RestrictedSource, load, register_table_function, satisfies
 
 
 def _xml(spark, d):
@@ -22,8 +23,9 @@ def _xml(spark, d):
 
 def _json(spark, d):
     path = scratch(spark, "json")
-    files.to_json_array(table(spark, d, "nation"), [F.col("n_nationkey")]).select("json").write.text(path)
-    return files.read_json_array(spark, path, "n_nationkey INT, n_name STRING, n_regionkey INT")
+    orders = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("o_custkey"), "o_orderpriority")
+    files.export_json_array(orders, path, [F.col("o_orderkey")])
+    return files.import_json_array(spark, path, "o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING")
 
 
 def _lobs(spark, d):
@@ -50,29 +52,32 @@ def _table_function(spark, d):
 
 
 class Squares(RestrictedSource):
-    """n and its square, n from 0 to 9,999, in eight slices."""
+    """n and its square, n from 0 to 9,999."""
 
-    slices = 8
+    fields = {"n": "BIGINT", "square": "BIGINT", "unused": "STRING"}
+    rows = 10_000
+    rows_in_slice = 1_250
 
     @classmethod
     def name(cls) -> str:
         return "millrace_squares"
 
-    def schema(self) -> str:
-        return "n BIGINT, square BIGINT"
-
-    def scan(self, number: int, of: int, restrictions: list) -> Iterator[tuple]:
+    def scan(self, number: int, of: int, restrictions: list, columns: list[str]) -> Iterator[tuple]:
         low = max((v for c, op, v in restrictions if c == "n" and op in (">", ">=", "=")), default=0)
         for n in range(number + (max(low - number, 0) + of - 1) // of * of, 10_000, of):
-            row = {"n": n, "square": n * n}
+            row = {"n": n, "square": n * n, "unused": str(n)}
             if all(satisfies(row[c], op, v) for c, op, v in restrictions):
-                yield n, n * n
+                yield tuple(row[c] for c in columns)
 
 
 def _restricted(spark, d):
-    spark.dataSource.register(Squares)
+    # Spark asks for this in the session; it is meant for all sources of this kind.
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("millrace_squares").load().filter("n >= 9000 AND square < 90000000")
+    return load(spark, Squares, ["n", "square"]).filter("n >= 9000 AND square < 90000000")
+
+
+def _restricted_columns(spark, d):
+    return load(spark, Squares, ["square"]).filter("square > 99000000").join(table(spark, d, "region").select("r_regionkey"), F.col("square") % 7 == F.col("r_regionkey"))
 
 
 def _udf(spark, d):
@@ -98,22 +103,34 @@ def _parameters(spark, d):
     return spark.sql("SELECT o_orderkey FROM {orders} WHERE o_orderstatus = ? AND o_totalprice > ?", args=["F", 250000.0], orders=table(spark, d, "orders"))
 
 
-def _iterated(spark, d):
-    """A result that is read row by row on the driver, as a scrollable cursor reads it."""
-    rows = table(spark, d, "region").orderBy("r_regionkey").toLocalIterator()
-    return spark.createDataFrame([tuple(r) for r in rows], table(spark, d, "region").schema)
+def _cursor(spark, d):
+    """Rows 11 to 20, the last one, and the one three before it."""
+    c = Cursor(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").asc_nulls_last(), F.col("o_orderkey")])
+    single = spark.createDataFrame([tuple(c.last()), tuple(c.relative(-3))], "o_orderkey bigint, o_totalprice double")
+    return c.rows(11, 20).unionAll(single)
+
+
+def _current_of(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    c = Cursor(orders, [F.col("o_totalprice").desc_nulls_first(), F.col("o_orderkey")])
+    c.first()
+    orders = c.update_current(orders, ["o_orderkey"], {"o_orderstatus": F.lit("!"), "o_totalprice": F.col("o_totalprice") + 1})
+    c.absolute(-1)
+    return c.delete_current(orders, ["o_orderkey"])
 
 
 FRAMES = {
     "xml_round_trip": (_xml, "SELECT * FROM {nation}"),
-    "json_round_trip": (_json, "SELECT * FROM {nation}"),
+    "json_round_trip": (_json, "SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS o_custkey, o_orderpriority FROM {orders}"),
     "lob_round_trip": (_lobs, "SELECT page_id, url, sha256(html) AS html FROM {pages}"),
     "property_lines": (_lines, "SELECT n_name AS key, n_nationkey AS value FROM {nation}"),
     "table_function": (_table_function, "SELECT n_name AS name, CAST(i AS INTEGER) AS i FROM {nation}, range(0, 10) AS r(i) WHERE i < n_regionkey"),
     "restricted_source": (_restricted, "SELECT n, n * n AS square FROM range(0, 10000) AS r(n) WHERE n >= 9000 AND n * n < 90000000"),
+    "restricted_columns": (_restricted_columns, "SELECT n * n AS square, r_regionkey FROM range(0, 10000) AS r(n) JOIN {region} ON (n * n) % 7 = r_regionkey WHERE n * n > 99000000"),
     "scalar_udf": (_udf, "SELECT n_nationkey, regexp_replace(n_name, '[^A-Z]', '', 'g') AS initials FROM {nation}"),
     "sequence": (_sequence, "SELECT r_name, 100 + 10 * (row_number() OVER (ORDER BY r_regionkey) - 1) AS id FROM {region}"),
     "view_over_view": (_view, "SELECT n_regionkey, count(*) AS n FROM {nation} WHERE n_regionkey < 3 GROUP BY n_regionkey"),
     "parameters": (_parameters, "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 250000"),
-    "cursor_rows": (_iterated, "SELECT * FROM {region}"),
+    "cursor_rows": (_cursor, "WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n, count(*) OVER () AS k FROM {orders}) SELECT o_orderkey, o_totalprice FROM o WHERE n BETWEEN 11 AND 20 OR n IN (k, k - 3)"),
+    "current_of": (_current_of, "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n, count(*) OVER () AS k FROM {orders}) SELECT o_orderkey, CASE WHEN n = 1 THEN '!' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN n = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM o WHERE n < k"),
 }

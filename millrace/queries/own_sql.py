@@ -203,7 +203,11 @@ def _dates(spark, d):
 
 
 def _search(spark, d):
-    return search.search(table(spark, d, "documents"), "doc_id", "text", "trash clown idiot", start=0, window=None).select("doc_id")
+    return search.search(table(spark, d, "documents"), "doc_id", "text", "trash clown idiot", start=0, window=None)
+
+
+def _search_page(spark, d):
+    return search.search(table(spark, d, "documents"), "doc_id", "text", "the token clown", start=5, window=20)
 
 
 def _json_round(spark, d):
@@ -237,6 +241,14 @@ def _external_round_trip(spark, d):
     return files.import_delimited(spark, path, table(spark, d, "nation").schema, column=";")
 
 
+def _search_sql(terms: list[str], end: str) -> str:
+    each = lambda text, by: by.join(text.format(i=i, t=t) for i, t in enumerate(terms))
+    return f"""
+        WITH w AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+') AS w FROM {{documents}}),
+        t AS (SELECT doc_id, {each("len(list_filter(w, lambda x: x = '{t}')) AS n{i}", ", ")} FROM w), c AS (SELECT count(*) AS n, {each("count(*) FILTER (WHERE n{i} > 0) AS d{i}", ", ")} FROM t)
+        SELECT doc_id, round({each("sqrt(n{i}) * ln((1 + n) / (1 + d{i}))", " + ")}, 6) AS score FROM t, c WHERE {each("n{i} > 0", " OR ")} {end}"""
+
+
 FRAMES = {
     "integer_avg_sum": (_int_avg, "SELECT l_returnflag, CAST(sum(l_linenumber) // count(l_linenumber) AS BIGINT) AS mean, CAST(sum(l_partkey) // count(l_partkey) AS BIGINT) AS part, CAST(sum(l_linenumber) AS INTEGER) AS total FROM {lineitem} GROUP BY l_returnflag"),
     "udaf_mode": (_mode, "SELECT o_orderstatus, min(o_orderpriority) AS most FROM (SELECT o_orderstatus, o_orderpriority, rank() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC) AS r FROM {orders} GROUP BY 1, 2) WHERE r = 1 GROUP BY o_orderstatus"),
@@ -272,7 +284,8 @@ FRAMES = {
     "length_by_type": (_lengths, "SELECT p_partkey, 4 AS n_p_size, CAST(length(p_name) AS INTEGER) AS n_p_name, 8 AS n_p_retailprice, 8 AS n_p_partkey FROM {part}"),
     "char_semantics": (_char, "SELECT * FROM (VALUES (1, TRUE, 'ab  '), (2, FALSE, 'ab  '), (3, TRUE, '    ')) AS v(id, same, padded)"),
     "date_of_number": (_dates, "SELECT p_partkey, strftime(DATE '1970-01-01' + CAST(p_partkey - 1 AS INTEGER), '%Y-%m-%d') AS day, strftime(make_timestamp(p_partkey * 61 * 1000000), '%H:%M:%S') AS time FROM {part}"),
-    "text_search": (_search, "SELECT doc_id FROM {documents} WHERE len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w IN ('trash', 'clown', 'idiot'))) > 0"),
+    "text_search": (_search, _search_sql(["trash", "clown", "idiot"], "")),
+    "text_search_page": (_search_page, _search_sql(["the", "token", "clown"], "ORDER BY score DESC, doc_id LIMIT 20 OFFSET 5")),
     "json_array_rows": (_json_round, "SELECT n_nationkey, n_name FROM {nation}"),
     "string_columns": (_strings, "SELECT n_nationkey AS k, n_name AS name FROM {nation}"),
     "tumbling_window": (_tumbling, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY 1, 2"),

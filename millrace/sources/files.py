@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.materialize import materialize
+from ..operators.relational import free, numbered
+
 
 def export_delimited(df: DataFrame, path: str, *, column: str = ",", quote: str = '"', codeset: str = "UTF-8", null: str = r"\N", lob_path: str | None = None, lobs: tuple[str, ...] = ()) -> None:
     """Writes character-delimited files, nulls as `null`; LOB columns go to a table of their own, with their place in the file."""
     if lobs:
-        keyed = df.withColumn("__row", F.monotonically_increasing_id())
-        keyed.select("__row", *lobs).write.mode("overwrite").parquet(lob_path)
-        df = keyed.select(*(F.concat(F.lit(f"{name}."), F.col("__row").cast("string")).alias(name) if name in lobs else F.col(name) for name in df.columns))
+        [row] = free(df, "row")
+        # Written once: both files must have the same numbers.
+        keyed = materialize(df.withColumn(row, F.monotonically_increasing_id()), "export")
+        keyed.select(F.col(row).alias("row"), *(F.col(f"`{name}`") for name in lobs)).write.mode("overwrite").parquet(lob_path)
+        df = keyed.select(*(F.concat(F.lit(f"{name}."), F.col(row).cast("string")).alias(name) if name in lobs else F.col(f"`{name}`") for name in df.columns))
     df.write.mode("overwrite").options(sep=column, quote=quote, escape=quote, encoding=codeset, emptyValue=quote * 2, nullValue=null).csv(path)
 
 
@@ -20,9 +25,11 @@ def import_delimited(spark: SparkSession, path: str, schema: T.StructType | str,
     """Reads character-delimited files with a declared schema; `columns` picks fields by number, from 1."""
     df = spark.read.options(sep=column, quote=quote, escape=quote, encoding=codeset, mode="FAILFAST", emptyValue="", nullValue=null).schema(schema).csv(path)
     if lobs:
-        kept = spark.read.parquet(lob_path)
-        row = F.substring_index(F.col(lobs[0]), ".", -1).cast("bigint")
-        df = df.withColumn("__row", row).drop(*lobs).join(kept, "__row").select(*df.columns)
+        names = df.columns
+        [row] = free(df, "row")
+        kept = spark.read.parquet(lob_path).withColumnRenamed("row", row)
+        number = F.substring_index(F.col(f"`{lobs[0]}`"), ".", -1).cast("bigint")
+        df = df.withColumn(row, number).drop(*lobs).join(kept, row).select(*(F.col(f"`{name}`") for name in names))
     return df.select(*(df.columns[i - 1] for i in columns)) if columns else df
 
 
@@ -45,11 +52,25 @@ def json_array(df: DataFrame, text: str, schema: str) -> DataFrame:
     return df.select(F.explode(F.from_json(F.col(text), f"array<struct<{schema}>>")).alias("__x")).select("__x.*")
 
 
-def to_json_array(df: DataFrame, order: list[Column]) -> DataFrame:
-    """One row `json`: the table as a JSON array.  The result is one text, so this is for tables that fit one."""
-    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    numbered = df.select(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)), row.alias("row")).alias("x"))
-    return numbered.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]), ","), F.lit("]")).alias("json"))
+def export_json_array(df: DataFrame, path: str, order: list[Column]) -> None:
+    """The table as one JSON array, nulls included: lines in files that make the array when put together in order of their names.
+
+    Every task writes its own rows; none holds the table.
+    """
+    number, total = free(df, "number", "total")
+    rows = numbered(df, number, order)
+    last = rows.agg(F.max(number).alias(total))
+    text = F.concat(F.when(F.col(number) == 1, "[").otherwise(","), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}), F.when(F.col(number) == F.col(total), "]").otherwise(""))
+    lines = rows.join(F.broadcast(last)).select(number, text.alias("value"))  # one row
+    if df.isEmpty():
+        lines = df.sparkSession.sql("SELECT 1L AS n, '[]' AS value").toDF(number, "value")
+    lines.repartitionByRange(number).sortWithinPartitions(number).select("value").write.mode("overwrite").text(path)
+
+
+def import_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of an array whose objects are on lines of their own, read line by line; columns by key, absent keys null."""
+    line = F.regexp_replace("value", r"^\s*[\[,]\s*|\s*[\],]\s*$", "")
+    return spark.read.text(path).select(line.alias("value")).filter("value <> ''").select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
 # Fixed value: the common log format.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 from pyspark.sql.functions import udtf
 
@@ -25,20 +25,48 @@ class Slice(InputPartition):
     of: int
 
 class RestrictedSource(DataSource):
-    """A source over scan(slice, slices, restrictions): Spark hands simple restrictions down as (column, operator, value).
+    """A source over scan(slice, slices, restrictions, columns): simple restrictions come as (column, operator, value), and the columns wanted by name.
 
-    Subclasses define name, schema and scan; what scan does not apply itself is filtered by Spark.
+    Subclasses define name, fields (column to type) and scan, which yields tuples of
+    the wanted columns; what scan does not apply itself is filtered by Spark.
+    `rows` estimates how many rows there are: it decides how many slices are read,
+    and whether `load` offers the source for a broadcast.  Other options of `load`
+    are in `self.options`, so that a source may know what it is read for.
     """
 
-    slices = 1
+    fields: dict[str, str] = {}
+    rows: int | None = None
+    rows_in_slice = 1_000_000
     handled: tuple[str, ...] = ("=", "<", "<=", ">", ">=", "in", "is null", "is not null")
 
-    def scan(self, number: int, of: int, restrictions: list[tuple[str, str, object]]) -> Iterator[tuple]:
+    def scan(self, number: int, of: int, restrictions: list[tuple[str, str, object]], columns: list[str]) -> Iterator[tuple]:
         raise NotImplementedError
 
+    def columns(self) -> list[str]:
+        return self.options["columns"].split("\x1f") if "columns" in self.options else list(self.fields)
+
+    def slices(self) -> int:
+        return max(1, -(-(self.rows or 1) // self.rows_in_slice))
+
+    def schema(self) -> str:
+        return ", ".join(f"`{c}` {self.fields[c]}" for c in self.columns())
+
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self)
 
+
+#: A source of so many rows at most is offered for a broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def load(spark: SparkSession, source: type[RestrictedSource], columns: list[str] | None = None, **options: str) -> DataFrame:
+    """The source's rows, with only the named columns asked of it."""
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name()).options(**options)
+    out = (reader.option("columns", "\x1f".join(columns)) if columns else reader).load()
+    return F.broadcast(out) if source.rows is not None and source.rows <= BROADCAST_ROWS else out
+
+
 _OPERATORS = {EqualTo: "=", LessThan: "<", LessThanOrEqual: "<=", GreaterThan: ">", GreaterThanOrEqual: ">=", In: "in", IsNull: "is null", IsNotNull: "is not null"}
 
 class _Reader(DataSourceReader):
@@ -55,10 +83,11 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Slice]:
-        return [Slice(i, self.source.slices) for i in range(self.source.slices)]
+        of = self.source.slices()
+        return [Slice(i, of) for i in range(of)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        yield from self.source.scan(partition.number, partition.of, self.restrictions)
+        yield from self.source.scan(partition.number, partition.of, self.restrictions, self.source.columns())
 
 def satisfies(value: object, op: str, other: object) -> bool:
     """Whether a value meets a restriction; null meets none but IS NULL."""
@@ -68,4 +97,4 @@ def satisfies(value: object, op: str, other: object) -> bool:
         return False
     return {"=": lambda: value == other, "<": lambda: value < other, "<=": lambda: value <= other, ">": lambda: value > other, ">=": lambda: value >= other, "in": lambda: value in other, "is not null": lambda: True}[op]()
 
-__all__ = ["RestrictedSource", "Slice", "register_table_function", "satisfies"]
+__all__ = ["BROADCAST_ROWS", "RestrictedSource", "Slice", "load", "register_table_function", "satisfies"]

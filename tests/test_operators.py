@@ -148,7 +148,20 @@ def test_xml_json_and_lines(spark, tmp_path):
     assert rows(files.read_properties(spark, str(tmp_path / "p.txt"))) == [("a", "1"), ("b", "two")]
     (tmp_path / "log").write_text('1.2.3.4 - u [10/Oct/2000] "GET / HTTP/1.0" 200 12\nbad\n')
     assert files.read_lines(spark, str(tmp_path / "log"), files.ACCESS_LOG, ["host", "ident", "user", "time", "request", "status", "bytes"]).first()["status"] == "200"
-    assert files.to_json_array(spark.range(2), [F.col("id")]).first()[0] == '[{"id":0},{"id":1}]'
+
+
+def test_json_array_over_many_files(spark, tmp_path):
+    import json
+
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("],[ "), F.col("id"))).alias("s")).repartition(5)
+    path = str(tmp_path / "array")
+    files.export_json_array(df, path, [F.col("id").desc()])
+    whole = json.loads("".join(p.read_text() for p in sorted((tmp_path / "array").glob("part-*"))))
+    assert [x["id"] for x in whole] == list(range(499, -1, -1))
+    assert whole[0] == {"id": 499, "s": "],[ 499"} and whole[1] == {"id": 498, "s": None}
+    assert rows(files.import_json_array(spark, path, "id BIGINT, s STRING")) == rows(df)
+    files.export_json_array(df.limit(0), path, [F.col("id")])
+    assert rows(files.import_json_array(spark, path, "id BIGINT, s STRING")) == []
 
 
 def test_table_function(spark):
@@ -157,30 +170,32 @@ def test_table_function(spark):
 
 
 class Numbers(functions.RestrictedSource):
-    slices = 2
+    fields = {"n": "INT", "restricted": "INT", "asked": "STRING", "context": "STRING"}
+    rows, rows_in_slice = 100, 50
 
     @classmethod
     def name(cls):
         return "numbers"
 
-    def schema(self):
-        return "n INT, restricted INT"
-
-    def scan(self, number, of, restrictions):
+    def scan(self, number, of, restrictions, columns):
         for n in range(number, 100, of):
             if all(functions.satisfies(n, op, value) for column, op, value in restrictions if column == "n"):
-                yield n, len(restrictions)
+                row = {"n": n, "restricted": len(restrictions), "asked": ",".join(columns), "context": self.options.get("context")}
+                yield tuple(row[c] for c in columns)
 
 
 def test_restrictions_reach_the_source(spark):
     from pyspark import cloudpickle as pickle
 
     pickle.register_pickle_by_value(__import__(Numbers.__module__))
-    spark.dataSource.register(Numbers)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    got = spark.read.format("numbers").load().filter("n >= 97").collect()
+    got = functions.load(spark, Numbers, context="here").filter("n >= 97").collect()
     assert sorted(r["n"] for r in got) == [97, 98, 99]
-    assert all(r["restricted"] >= 1 for r in got)
+    assert all(r["restricted"] >= 1 and r["context"] == "here" for r in got)
+    some = functions.load(spark, Numbers, ["asked", "n"])
+    assert some.columns == ["asked", "n"] and {r["asked"] for r in some.collect()} == {"asked,n"}
+    assert some.rdd.getNumPartitions() == 2
+    assert "Broadcast" in spark.range(10**7).join(functions.load(spark, Numbers), F.col("id") == F.col("n"))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_explain(spark):
@@ -208,3 +223,15 @@ def test_search_without_a_limit(spark):
     out = search.search(df, "doc_id", "text", "clown", window=None)
     assert out.count() == 50
     assert "Limit" not in own_sql._search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cursor(spark):
+    from millrace.operators.cursor import Cursor
+
+    c = Cursor(spark.range(10).select(F.col("id").alias("number"), (F.col("id") * 10).alias("v")).repartition(3), [F.col("number").desc()])
+    assert [r["number"] for r in c.rows(2, 4).collect()] == [8, 7, 6]
+    assert [c.next()[0], c.next()[0], c.last()[0], c.previous()[0], c.absolute(-10)[0], c.first()[0]] == [9, 8, 0, 1, 9, 9]
+    assert c.previous() is None and c.at == 0
+    assert c.absolute(11) is None and c.previous()["number"] == 0
+    empty = Cursor(spark.range(0), [F.col("id")])
+    assert empty.next() is None and empty.last() is None
