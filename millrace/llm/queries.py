@@ -107,7 +107,29 @@ for _i, _control in enumerate(("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_BLANK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+# The tables' pages mark their main text as the article element; blocks end at h1, p and br.
+_ARTICLE = "regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1)"
+_BLOCKS = f"list_transform(regexp_split_to_array({_ARTICLE}, '</?(?:h1|p|br)>'), lambda b: trim(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')))"
+for _name, _character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+    _BLOCKS = f"list_transform({_BLOCKS}, lambda b: replace(b, '&{_name};', '{_character}'))"
+
 SQL: dict[str, str] = {
+    "op2_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_BLANK_WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT r, sh FROM (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS sh FROM w)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r GROUP BY 1, 2),
+        one AS (SELECT x, y FROM pairs JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+        links AS (SELECT x, y FROM one UNION ALL SELECT y, x FROM one),
+        reach AS (SELECT r, r AS t FROM w UNION SELECT reach.r, y FROM reach JOIN links ON x = t),
+        component AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN w ON w.r = t GROUP BY reach.r)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, (SELECT count(*) FROM links WHERE x = w.r) AS n_links
+        FROM w JOIN component USING (r) LEFT JOIN n USING (r)""",
+    "op7_html": f"""
+        SELECT page_id, url, text, length(text) AS n_chars
+        FROM (SELECT page_id, url, array_to_string(list_filter({_BLOCKS}, lambda b: b <> ''), chr(10)) AS text FROM pages)""",
     "op3_chat": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

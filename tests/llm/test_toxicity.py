@@ -60,3 +60,23 @@ def test_families_are_of_near_copies_only():
     assert toxicity._family(words) == toxicity._family([*words, "more"]) or toxicity._family(words) == toxicity._family(["more", *words])
     assert len({toxicity._family([*words[i:], "a", *words[:i]]) for i in range(0, 300, 50)}) < 6
     assert len({toxicity._family([words[(i * k) % 300] for k in range(200)]) for i in (1, 7, 11, 13)}) == 4
+
+
+def test_matching_against_brute_force():
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    for _ in range(200):
+        weights = {rng.choice((f" {word()}", f" {word()} ")): rng.uniform(1, 9) for _ in range(8)}
+        lexicon = toxicity.Lexicon(weights, frozenset(rng.choice((word(), f"{word()} {word()}")) for _ in range(4)))
+        folded = toxicity.fold(" ".join(word() for _ in range(rng.randint(0, 30))))
+        words = folded.split()
+        want, at = {}, 0
+        for i, w in enumerate(words):
+            fitting = [v for t, v in weights.items() if (w == t.strip() if t.endswith(" ") else w.startswith(t[1:]))]
+            around = {w, " ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2])}
+            if fitting and not around & lexicon.exceptions:
+                want[at] = max(fitting)
+            at += len(w) + 1
+        assert dict(lexicon.hits(lexicon.matcher(), folded)) == want
