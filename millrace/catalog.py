@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -29,11 +30,48 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str, parameters: Sequence = (
     return execute(spark, text)
 
 
-_NUMBERED = re.compile(r"\bROW_NUMBER\s*\(\s*\)\s*OVER\s*\(\s*\)(?:\s+(?:AS\s+)?(?!FROM\b|AS\b)(\w+|`[^`]+`))?", re.I)
+_NUMBERED = re.compile(r"(?:\bROW_NUMBER\s*\(\s*\)\s*OVER\s*\(\s*\)|\bNEXT\s+VALUE\s+FOR\s+(?P<sequence>\w+))(?:\s+(?:AS\s+)?(?!FROM\b|AS\b)(?P<name>\w+|`[^`]+`))?", re.I)
+#: Sequences by lower-cased name: the next value and the step.
+_sequences: dict[str, list[int]] = {}
+
+
+def create_sequence(name: str, start: int = 1, step: int = 1) -> None:
+    """A sequence for NEXT VALUE FOR, of this driver process."""
+    if not step:
+        raise ValueError("a sequence's step is not 0")
+    _sequences[name.lower()] = [start, step]
+
+
+def drop_sequence(name: str) -> None:
+    del _sequences[name.lower()]
+
+
+_procedures: dict[str, Callable] = {}
+
+
+def create_procedure(name: str, run: Callable) -> None:
+    """run(spark, *arguments) for CALL name(...); it may return a DataFrame."""
+    _procedures[name.lower()] = run
+
+
+def register_function(spark: SparkSession, name: str, returns: str, run: Callable) -> None:
+    """A scalar function for SQL text; run takes and gives pandas series, a batch at a time."""
+    spark.udf.register(name, F.pandas_udf(run, returns))
+
+
+def call(spark: SparkSession, sql: str, parameters: Sequence = ()) -> DataFrame | None:
+    """CALL name(arguments): constant expressions, computed by Spark."""
+    from .dialect import rewrite
+
+    m = re.fullmatch(r"\s*\{?\s*CALL\s+(\w+)\s*\((.*)\)\s*\}?\s*;?\s*", rewrite(sql, parameters), re.I | re.S)
+    if not m or m[1].lower() not in _procedures:
+        raise ValueError(f"no such procedure: {sql}")
+    arguments = list(spark.sql(f"SELECT {m[2]}").first()) if m[2].strip() else []
+    return _procedures[m[1].lower()](spark, *arguments)
 
 
 def execute(spark: SparkSession, text: str) -> DataFrame:
-    """Spark SQL with the dialect's types, and with ROW_NUMBER() OVER (): each block that has one is numbered in parallel, and read as a view."""
+    """Spark SQL with the dialect's types, and with ROW_NUMBER() OVER () and NEXT VALUE FOR: each block that has one is numbered in parallel, and read as a view."""
     from .operators.relational import numbered
     from .typed import _plain, typed
 
@@ -52,10 +90,17 @@ def execute(spark: SparkSession, text: str) -> DataFrame:
             if depth < 0:
                 b = k
                 break
-        name = (m[1] or "`row_number`").strip("`")
+        name = (m["name"] or "`row_number`").strip("`")
         block = f"{text[a : m.start()]}CAST(0 AS BIGINT) AS `{name}`{text[m.end() : b]}"
         rows = spark.sql(typed(spark, block))
         out = numbered(rows.drop(name), name, []).select(*(f"`{c}`" for c in rows.columns))
+        if m["sequence"]:
+            if m["sequence"].lower() not in _sequences:
+                raise ValueError(f"no such sequence: {m['sequence']}")
+            sequence = _sequences[m["sequence"].lower()]
+            start, step = sequence
+            sequence[0] += step * out.count()
+            out = out.withColumn(name, F.lit(start).cast("bigint") + F.lit(step) * (F.col(f"`{name}`") - 1))
         if (a, b) == (0, len(text)):
             return out.orderBy(name) if re.search(r"\bORDER\s+BY\b", _plain(block), re.I) else out
         count += 1

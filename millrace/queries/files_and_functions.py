@@ -71,8 +71,6 @@ class Squares(RestrictedSource):
 
 
 def _restricted(spark, d):
-    # Spark asks for this in the session; it is meant for all sources of this kind.
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return load(spark, Squares, ["n", "square"]).filter("n >= 9000 AND square < 90000000")
 
 

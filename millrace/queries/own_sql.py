@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import run_sql, table
+from ..catalog import call, create_procedure, create_sequence, register_function, run_sql, table
 from ..functions import aggregates, scalar
 from ..operators import dml, relational
 from ..sources import files, search
@@ -23,6 +23,10 @@ DIALECT = {
     "value_function": ("SELECT v.id, VALUE(v.x, 9) AS x, SUBSTR(v.s, 2) AS s, LCASE(v.s) AS l, ABSVAL(v.x) AS a FROM (VALUES (1, -5, 'Abc'), (2, NULL, 'Zz')) AS v(id, x, s)", "SELECT v.id, coalesce(v.x, 9) AS x, substring(v.s, 2) AS s, lower(v.s) AS l, abs(v.x) AS a FROM (VALUES (1, -5, 'Abc'), (2, NULL, 'Zz')) AS v(id, x, s)"),
     "hyperbolic_functions": ("SELECT p_partkey, round(sinh(p_size / 50.0D), 9) AS sh, round(cosh(p_size / 50.0D), 9) AS ch, round(tanh(p_size / 50.0D), 9) AS th, round(cot(p_size), 6) AS ct FROM {part}", "SELECT p_partkey, round((exp(p_size / 50.0e0) - exp(-p_size / 50.0e0)) / 2, 9) AS sh, round((exp(p_size / 50.0e0) + exp(-p_size / 50.0e0)) / 2, 9) AS ch, round((exp(p_size / 25.0e0) - 1) / (exp(p_size / 25.0e0) + 1), 9) AS th, round(1 / tan(p_size), 6) AS ct FROM {part}"),
     "session_values": ("SELECT CURRENT ISOLATION AS iso, CURRENT_DATE = CURRENT_DATE AS stable", "SELECT 'CS' AS iso, TRUE AS stable"),
+    "current_values": ("SELECT CURRENT DATE = CURRENT_DATE AS d, CURRENT TIMESTAMP >= {ts '2020-01-01 00:00:00'} AS ts, char_length(CURRENT_TIME) AS t, {t '10:20:30'} AS given", "SELECT TRUE AS d, TRUE AS ts, 8 AS t, '10:20:30' AS given"),
+    "limit_escape": ("SELECT o_orderkey FROM {orders} ORDER BY o_orderkey {limit 3 OFFSET 2}", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 3 OFFSET 2"),
+    "qualified_star": ("SELECT n.*, r.r_name FROM {nation} n JOIN {region} AS r ON n.n_regionkey = r.r_regionkey", "SELECT n.*, r.r_name FROM {nation} n JOIN {region} AS r ON n.n_regionkey = r.r_regionkey"),
+    "is_unknown": ("SELECT v.id, (v.x > 3) IS UNKNOWN AS u, (v.x > 3) IS NOT UNKNOWN AS k, (v.x > 3) IS NOT FALSE AS nf FROM (VALUES (1, 5), (2, NULL), (3, 0)) AS v(id, x)", "SELECT v.id, (v.x > 3) IS NULL AS u, (v.x > 3) IS NOT NULL AS k, coalesce(v.x > 3, TRUE) AS nf FROM (VALUES (1, 5), (2, NULL), (3, 0)) AS v(id, x)"),
     "integer_division": ("SELECT p_partkey, p_size / 7 AS q, (0 - p_size) / 7 AS nq, p_partkey / p_size AS wide, p_size / 7.0e0 AS exact, MOD(p_size, 7) AS r FROM {part} WHERE p_size / 2 * 2 = p_size", "SELECT p_partkey, CAST(p_size // 7 AS INTEGER) AS q, CAST(-(p_size // 7) AS INTEGER) AS nq, CAST(p_partkey // p_size AS BIGINT) AS wide, p_size / 7.0e0 AS exact, p_size % 7 AS r FROM {part} WHERE p_size % 2 = 0"),
     "integer_avg": ("SELECT l_returnflag, AVG(l_linenumber) AS mean, AVG(DISTINCT l_linenumber) AS some, SUM(l_linenumber) AS total, AVG(l_partkey) / COUNT(DISTINCT l_linenumber) AS part, round(AVG(l_quantity), 4) AS exact FROM {lineitem} GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_linenumber) // count(l_linenumber) AS INTEGER) AS mean, CAST(sum(DISTINCT l_linenumber) // count(DISTINCT l_linenumber) AS INTEGER) AS some, CAST(sum(l_linenumber) AS INTEGER) AS total, CAST((sum(l_partkey) // count(l_partkey)) // count(DISTINCT l_linenumber) AS BIGINT) AS part, round(avg(l_quantity), 4) AS exact FROM {lineitem} GROUP BY l_returnflag"),
     "integer_avg_over": ("SELECT p_partkey, AVG(p_size) OVER (PARTITION BY p_brand) AS mean FROM {part}", "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand) // count(p_size) OVER (PARTITION BY p_brand) AS INTEGER) AS mean FROM {part}"),
@@ -33,6 +37,7 @@ DIALECT = {
     "row_number_in_sql": ("SELECT count(*) AS n, min(t.r) AS lo, max(t.r) AS hi, count(DISTINCT t.r) AS d, count(DISTINCT t.o_orderkey) AS k FROM (SELECT ROW_NUMBER() OVER () AS r, o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 1000) AS t", "SELECT count(*) AS n, 1 AS lo, count(*) AS hi, count(*) AS d, count(*) AS k FROM {orders} WHERE o_totalprice > 1000"),
     "row_number_paged": ("SELECT t.r FROM (SELECT ROW_NUMBER() OVER () AS r, n_name FROM {nation}) AS t WHERE t.r <= 5", "SELECT r FROM range(1, 6) AS v(r)"),
     "xml_functions": ("SELECT n_nationkey, xpath_string(concat('<n k=\"', n_regionkey, '\"><name>', n_name, '</name></n>'), '/n/name') AS name, xpath_boolean(concat('<n k=\"', n_regionkey, '\"/>'), '/n[@k=1]') AS hit FROM {nation}", "SELECT n_nationkey, n_name AS name, n_regionkey = 1 AS hit FROM {nation}"),
+    "xml_by_name": ("SELECT n_nationkey, XMLSERIALIZE(XMLPARSE(DOCUMENT concat('<n k=\"', n_regionkey, '\"><name>', n_name, '</name></n>') PRESERVE WHITESPACE) AS CLOB) AS doc, XMLEXISTS('/n[@k=1]/name' PASSING BY REF XMLPARSE(DOCUMENT concat('<n k=\"', n_regionkey, '\"><name>', n_name, '</name></n>') PRESERVE WHITESPACE)) AS hit FROM {nation}", "SELECT n_nationkey, '<n k=\"' || n_regionkey || '\"><name>' || n_name || '</name></n>' AS doc, n_regionkey = 1 AS hit FROM {nation}"),
     "json_functions": ("SELECT event_id, to_json(named_struct('id', event_id, 'type', event_type)) AS js, get_json_object(to_json(named_struct('t', event_type)), '$.t') AS t FROM {events}", "SELECT event_id, '{{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}}' AS js, event_type AS t FROM {events}"),
 }
 
@@ -74,6 +79,25 @@ def _row_number_payload(spark, d):
     return relational.numbered(table(spark, d, "orders"), "rn", [F.col("o_custkey").desc_nulls_first(), F.col("o_orderkey").asc_nulls_last()]).select("rn", "o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
+def _next_value(spark, d):
+    create_sequence("order_numbers", 1000, 5)
+    first = run_sql(spark, d, "VALUES NEXT VALUE FOR order_numbers").select(F.lit(-1).cast("bigint").alias("k"), "next_value")
+    rows = run_sql(spark, d, "SELECT NEXT VALUE FOR order_numbers AS v, o_orderkey FROM {orders}")
+    # Which row gets which number is free; the numbers are not.
+    summary = rows.agg(F.count_distinct("o_orderkey").alias("k"), (F.sum("v") + F.count_distinct("v")).alias("next_value"))
+    return first.unionAll(summary).unionAll(run_sql(spark, d, "SELECT NEXT VALUE FOR order_numbers AS v FROM {region} WHERE r_regionkey = 0").select(F.lit(-2).cast("bigint"), "v"))
+
+
+def _call(spark, d):
+    create_procedure("top_orders", lambda spark, n, status: run_sql(spark, d, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = ? ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST ? ROWS ONLY", [status, n]))
+    return call(spark, "{CALL top_orders(? + 2, 'F')}", [5])
+
+
+def _registered_function(spark, d):
+    register_function(spark, "millrace_initials", "string", lambda s: s.str.replace(r"[^A-Z]", "", regex=True))
+    return run_sql(spark, d, "SELECT n_nationkey, millrace_initials(n_name) AS initials FROM {nation} WHERE LENGTH(millrace_initials(n_name)) > 5")
+
+
 def _sql_parameters(spark, d):
     return run_sql(spark, d, "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderstatus <> ? AND o_totalprice > ? ORDER BY o_orderkey OFFSET ? ROWS FETCH FIRST ? ROWS ONLY", ["it's?", 1000.5, 3, 11])
 
@@ -110,7 +134,14 @@ def _paged(spark, d):
 
 def _set_ops(spark, d):
     c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    return relational.except_(c, s, all=True).unionAll(relational.intersect(c, s, all=True)).groupBy("k").agg(F.count("*").alias("n"))
+    sides = {"except": relational.except_(c, s, all=True), "intersect": relational.intersect(c, s, all=True), "except once": relational.except_(c, s), "intersect once": relational.intersect(s, c)}
+    counted = [rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("side", F.lit(name)) for name, rows in sides.items()]
+    return counted[0].unionAll(counted[1]).unionAll(counted[2]).unionAll(counted[3])
+
+
+def _timestamp_of(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", scalar.timestamp_of(F.to_date("o_orderdate"), scalar.time_text(F.timestamp_seconds(F.col("o_orderkey") % 86400))).alias("at"))
 
 
 def _insert(spark, d):
@@ -255,6 +286,9 @@ FRAMES = {
     "udaf_geometric_mean": (_geometric, "SELECT o_orderpriority, round(exp(avg(ln(o_totalprice))), 4) AS g FROM {orders} WHERE o_totalprice > 0 GROUP BY o_orderpriority"),
     "row_number_global": (_row_number, "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rn FROM {orders}"),
     "row_number_payload": (_row_number_payload, "SELECT row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS rn, o_orderkey, o_orderstatus, o_orderpriority FROM {orders}"),
+    "next_value": (_next_value, "WITH o AS (SELECT 1000 + 5 * row_number() OVER () AS v FROM {orders}) SELECT -1 AS k, 1000 AS next_value UNION ALL SELECT count(*), CAST(sum(v) AS BIGINT) + count(*) FROM o UNION ALL SELECT -2, 1005 + 5 * count(*) FROM o"),
+    "call_procedure": (_call, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 7"),
+    "registered_function": (_registered_function, "SELECT n_nationkey, regexp_replace(n_name, '[^A-Z]', '', 'g') AS initials FROM {nation} WHERE length(regexp_replace(n_name, '[^A-Z]', '', 'g')) > 5"),
     "sql_parameters": (_sql_parameters, "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_totalprice > 1000.5 ORDER BY o_orderkey LIMIT 11 OFFSET 3"),
     "row_number_partitioned": (_row_number_partitioned, "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}"),
     "quantified_all_any": (_quantified, "SELECT n_nationkey, coalesce(n_nationkey >= (SELECT max(c_nationkey) FROM {customer} WHERE c_acctbal > 9000), TRUE) AS every, coalesce(n_nationkey < (SELECT max(c_nationkey) FROM {customer} WHERE c_acctbal > 9000), FALSE) AS some FROM {nation}"),
@@ -262,7 +296,8 @@ FRAMES = {
     "scalar_once": (_once, "SELECT o_orderkey FROM {orders} WHERE o_totalprice = (SELECT max(o_totalprice) FROM {orders})"),
     "range_join": (_range_join, "SELECT tier, count(*) AS n FROM {orders} JOIN (VALUES ('a', 0.0, 50000.0), ('b', 50000.01, 150000.0), ('c', 100000.0, 1000000.0)) AS t(tier, lo, hi) ON o_totalprice BETWEEN lo AND hi GROUP BY tier"),
     "paged": (_paged, "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 5 OFFSET 3"),
-    "set_operations_all": (_set_ops, "SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY c_nationkey"),
+    "set_operations_all": (_set_ops, "WITH c AS (SELECT c_nationkey AS k FROM {customer}), s AS (SELECT s_nationkey AS k FROM {supplier}), o AS (SELECT 'except' AS side, k FROM (FROM c EXCEPT ALL FROM s) UNION ALL SELECT 'intersect', k FROM (FROM c INTERSECT ALL FROM s) UNION ALL SELECT 'except once', k FROM (FROM c EXCEPT FROM s) UNION ALL SELECT 'intersect once', k FROM (FROM s INTERSECT FROM c)) SELECT side, k, count(*) AS n FROM o GROUP BY side, k"),
+    "timestamp_of": (_timestamp_of, "SELECT o_orderkey, CAST(o_orderdate AS DATE) + to_seconds(o_orderkey % 86400) AS at FROM {orders}"),
     "insert_normalized": (_insert, "SELECT * FROM {region} UNION ALL SELECT 7, 'NEW'"),
     "update": (_update, "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN round(c_acctbal * 2, 2) ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal < 0 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment FROM {customer}"),
     "delete": (_delete, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE NOT o_totalprice < 100000"),

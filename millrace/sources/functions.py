@@ -60,7 +60,8 @@ BROADCAST_ROWS = 100_000
 
 
 def load(spark: SparkSession, source: type[RestrictedSource], columns: list[str] | None = None, **options: str) -> DataFrame:
-    """The source's rows, with only the named columns asked of it."""
+    """The source's rows, with only the named columns asked of it.  Turns on, for the session, that filters go to Python sources: readers with restrictions need it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(source)
     reader = spark.read.format(source.name()).options(**options)
     out = (reader.option("columns", "\x1f".join(columns)) if columns else reader).load()

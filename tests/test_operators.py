@@ -188,7 +188,6 @@ def test_restrictions_reach_the_source(spark):
     from pyspark import cloudpickle as pickle
 
     pickle.register_pickle_by_value(__import__(Numbers.__module__))
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     got = functions.load(spark, Numbers, context="here").filter("n >= 97").collect()
     assert sorted(r["n"] for r in got) == [97, 98, 99]
     assert all(r["restricted"] >= 1 and r["context"] == "here" for r in got)
