@@ -10,33 +10,33 @@ from pyspark.sql import functions as F
 from ..catalog import table
 from ..operators import relational
 from ..operators.cursor import Cursor
-from ..operators.materialize import scratch
+from ..operators.materialize import new_path
 from ..sources import files
 from ..sources.functions import RestrictedSource, load, register_table_function, satisfies
 
 
 def _xml(spark, d):
-    path = scratch(spark, "xml")
+    path = new_path(spark, "xml")
     table(spark, d, "nation").write.format("xml").options(rootTag="nations", rowTag="nation").save(path)
     return files.read_xml(spark, path, "nation", "n_nationkey INT, n_name STRING, n_regionkey INT")
 
 
 def _json(spark, d):
-    path = scratch(spark, "json")
+    path = new_path(spark, "json")
     orders = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("o_custkey"), "o_orderpriority")
     files.export_json_array(orders, path, [F.col("o_orderkey")])
     return files.import_json_array(spark, path, "o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING")
 
 
 def _lobs(spark, d):
-    out, lobs = scratch(spark, "export"), scratch(spark, "lobs")
+    out, lobs = new_path(spark, "export"), new_path(spark, "lobs")
     pages = table(spark, d, "pages")
     files.export_delimited(pages, out, lob_path=lobs, lobs=("html",))
     return files.import_delimited(spark, out, pages.schema, lob_path=lobs, lobs=("html",)).select("page_id", "url", F.sha2("html", 256).alias("html"))
 
 
 def _lines(spark, d):
-    path = scratch(spark, "lines")
+    path = new_path(spark, "lines")
     table(spark, d, "nation").select(F.concat_ws(" = ", F.col("n_name"), F.col("n_nationkey").cast("string"))).write.text(path)
     return files.read_properties(spark, path).select("key", F.col("value").cast("int").alias("value"))
 

@@ -265,9 +265,9 @@ def _materialized(spark, d):
 
 
 def _external_round_trip(spark, d):
-    from ..operators.materialize import scratch
+    from ..operators.materialize import new_path
 
-    path = scratch(spark, "export")
+    path = new_path(spark, "export")
     files.export_delimited(table(spark, d, "nation"), path, column=";")
     return files.import_delimited(spark, path, table(spark, d, "nation").schema, column=";")
 

@@ -234,3 +234,19 @@ def test_cursor(spark):
     assert c.absolute(11) is None and c.previous()["number"] == 0
     empty = Cursor(spark.range(0), [F.col("id")])
     assert empty.next() is None and empty.last() is None
+
+
+def test_written_tables_can_be_deleted(spark):
+    import os
+
+    from millrace.operators import materialize as m
+
+    one, two = m.materialize(spark.range(3), "one"), m.materialize(spark.range(4), "two")
+    place = [df._written.removeprefix("file://") for df in (one, two)]
+    assert all(map(os.path.exists, place)) and one.count() == 3
+    m.discard(one, spark.range(1))
+    assert [os.path.exists(p) for p in place] == [False, True]
+    two.createOrReplaceTempView("kept")
+    m._written[spark.sparkContext.applicationId] = {two._written}
+    m.cleanup(spark)
+    assert not os.path.exists(place[1])
