@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, decontaminate, jaccard, pii, toxicity
 from millrace.llm.queries import table, tokenizer_path
-from millrace.llm.store import discard, materialize
+from millrace.operators.materialize import discard, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
