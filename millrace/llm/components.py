@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, materialize
+from ..operators.materialize import discard, materialize
 
 
 #: Rows of one node are dealt to so many tasks; adaptive execution splits them further.

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .arrow import free, frugal, pick
 from .components import components
-from .store import discard, materialize
+from ..operators.materialize import discard, materialize
 from .words import BLANKS, mix, shingles, words
 
 _PART = 1 << 16

@@ -7,7 +7,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import media, store
+from millrace.llm import media
+from millrace.operators import materialize as store
 
 from .cases import TEXTS, documents, empty
 
