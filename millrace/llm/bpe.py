@@ -176,14 +176,14 @@ class Bpe:
         for end, (size, i) in self.automaton.iter(text):
             if size > reach[end - size + 1]:
                 reach[end - size + 1], longest[end - size + 1] = size, i
-        failed = 0
+        failed = b""  # a bit for each position, once there is a failed one
         out: list[int] = []
         at = 0
         token = longest[0]
         while at < n:
             while True:
                 end = at + self.length[token]
-                if not failed >> end & 1 and (not out or self.compatible(out[-1], token)):
+                if not (failed and failed[end >> 3] >> (end & 7) & 1) and (not out or self.compatible(out[-1], token)):
                     out.append(token)
                     at = end
                     token = longest[end] if end < n else None
@@ -191,7 +191,8 @@ class Bpe:
                 if (less := self.shorter[token]) is not None:
                     token = less
                     continue
-                failed |= 1 << at
+                failed = failed or bytearray((n >> 3) + 1)
+                failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= self.length[token]
         return out
