@@ -113,7 +113,8 @@ _BLANK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLM
 _ARTICLE = "regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1)"
 _BLOCKS = f"list_transform(regexp_split_to_array({_ARTICLE}, '</?(?:h1|p|br)>'), lambda b: trim(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')))"
 for _name, _character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
-    _BLOCKS = f"list_transform({_BLOCKS}, lambda b: replace(b, '&{_name};', '{_character}'))"
+    # Without its semicolon such a reference is one too.
+    _BLOCKS = f"list_transform({_BLOCKS}, lambda b: regexp_replace(b, '&{_name};?', '{_character}', 'g'))"
 
 SQL: dict[str, str] = {
     "op2_jaccard": f"""
