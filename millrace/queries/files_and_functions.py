@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..catalog import table
+from ..catalog import TABLES, table
 from ..operators import relational
 from ..operators.cursor import Cursor
 from ..operators.materialize import new_path
+from ..plans import diagnostics
 from ..sources import files
 from ..sources.functions import RestrictedSource, load, register_table_function, satisfies
 
@@ -117,7 +118,27 @@ def _current_of(spark, d):
     return c.delete_current(orders, ["o_orderkey"])
 
 
+def _access_log(spark, d):
+    path = new_path(spark, "log")
+    o = table(spark, d, "orders")
+    line = F.format_string('10.0.%d.%d - - [%s +0000] "GET /orders/%d HTTP/1.1" %d %d', (F.col("o_custkey") % 256).cast("int"), (F.col("o_orderkey") % 256).cast("int"), F.date_format("o_orderdate", "dd/MM/yyyy:HH:mm:ss"), "o_orderkey", F.when(F.col("o_orderstatus") == "F", 200).otherwise(404), F.col("o_orderkey") * 3)
+    o.select(F.when(F.col("o_orderkey") % 50 == 0, "no log line").otherwise(line)).write.text(path)
+    log = files.read_lines(spark, path, files.ACCESS_LOG, ["host", "ident", "user", "time", "request", "status", "bytes"])
+    return log.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.col("bytes").cast("bigint")).alias("bytes"), F.count_distinct("request").alias("requests"))
+
+
+def _space(spark, d):
+    return diagnostics.space(spark, d).select("name", "n_rows", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+def _columns(spark, d):
+    return diagnostics.columns(spark, d, ("nation", "orders")).select("table", "number", "column")
+
+
 FRAMES = {
+    "access_log": (_access_log, "SELECT CASE WHEN o_orderstatus = 'F' THEN '200' ELSE '404' END AS status, count(*) AS n, CAST(sum(o_orderkey * 3) AS BIGINT) AS bytes, count(DISTINCT o_orderkey) AS requests FROM {orders} WHERE o_orderkey % 50 <> 0 GROUP BY 1"),
+    "table_space": (_space, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, TRUE AS has_bytes FROM {{{t}}}" for t in TABLES)),
+    "table_columns": (_columns, "SELECT table_name AS \"table\", column_index AS number, column_name AS \"column\" FROM duckdb_columns() WHERE table_name IN ('nation', 'orders') AND database_name = current_database()"),
     "xml_round_trip": (_xml, "SELECT * FROM {nation}"),
     "json_round_trip": (_json, "SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS o_custkey, o_orderpriority FROM {orders}"),
     "lob_round_trip": (_lobs, "SELECT page_id, url, sha256(html) AS html FROM {pages}"),

@@ -37,6 +37,7 @@ DIALECT = {
     "row_number_in_sql": ("SELECT count(*) AS n, min(t.r) AS lo, max(t.r) AS hi, count(DISTINCT t.r) AS d, count(DISTINCT t.o_orderkey) AS k FROM (SELECT ROW_NUMBER() OVER () AS r, o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 1000) AS t", "SELECT count(*) AS n, 1 AS lo, count(*) AS hi, count(*) AS d, count(*) AS k FROM {orders} WHERE o_totalprice > 1000"),
     "row_number_paged": ("SELECT t.r FROM (SELECT ROW_NUMBER() OVER () AS r, n_name FROM {nation}) AS t WHERE t.r <= 5", "SELECT r FROM range(1, 6) AS v(r)"),
     "xml_functions": ("SELECT n_nationkey, xpath_string(concat('<n k=\"', n_regionkey, '\"><name>', n_name, '</name></n>'), '/n/name') AS name, xpath_boolean(concat('<n k=\"', n_regionkey, '\"/>'), '/n[@k=1]') AS hit FROM {nation}", "SELECT n_nationkey, n_name AS name, n_regionkey = 1 AS hit FROM {nation}"),
+    "join_properties": ("SELECT c.c_custkey, o.o_orderkey FROM {customer} c --SOME-PROPERTIES joinStrategy=HASH\n JOIN {orders} AS o --SOME-PROPERTIES joinStrategy = NESTEDLOOP\n ON o.o_custkey = c.c_custkey", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c JOIN {orders} AS o ON o.o_custkey = c.c_custkey"),
     "xml_by_name": ("SELECT n_nationkey, XMLSERIALIZE(XMLPARSE(DOCUMENT concat('<n k=\"', n_regionkey, '\"><name>', n_name, '</name></n>') PRESERVE WHITESPACE) AS CLOB) AS doc, XMLEXISTS('/n[@k=1]/name' PASSING BY REF XMLPARSE(DOCUMENT concat('<n k=\"', n_regionkey, '\"><name>', n_name, '</name></n>') PRESERVE WHITESPACE)) AS hit FROM {nation}", "SELECT n_nationkey, '<n k=\"' || n_regionkey || '\"><name>' || n_name || '</name></n>' AS doc, n_regionkey = 1 AS hit FROM {nation}"),
     "json_functions": ("SELECT event_id, to_json(named_struct('id', event_id, 'type', event_type)) AS js, get_json_object(to_json(named_struct('t', event_type)), '$.t') AS t FROM {events}", "SELECT event_id, '{{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}}' AS js, event_type AS t FROM {events}"),
 }

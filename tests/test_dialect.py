@@ -69,3 +69,10 @@ def test_integer_division_by_types(spark):
     assert execute(spark, "SELECT avg(a) AS m FROM typed_big").first()["m"] == 2**31 - 1
     with pytest.raises(PySparkException):
         execute(spark, "SELECT sum(a) FROM typed_big").collect()
+
+
+def test_join_properties_become_hints(spark):
+    from millrace.queries import QUERIES
+
+    plan = QUERIES["join_properties"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
