@@ -16,6 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_AFTER_TABLES = "CROSS|EXCEPT|FULL|GROUP|HAVING|INNER|INTERSECT|JOIN|LATERAL|LEFT|LIMIT|NATURAL|OFFSET|ON|ORDER|RIGHT|TABLESAMPLE|UNION|USING|WHERE|WINDOW"
+
+
 def run_sql(spark: SparkSession, sf_dir: str, sql: str, parameters: Sequence = ()) -> DataFrame:
     """A query in the engine's dialect over the directory's tables, written {name}, with values for its ?."""
     from .dialect import rewrite
@@ -25,8 +28,8 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str, parameters: Sequence = (
         if "{" + t + "}" in text:
             view = f"millrace_{t}_{zlib.crc32(sf_dir.encode()):08x}"
             table(spark, sf_dir, t).createOrReplaceTempView(view)
-            # An alias of the table's own name, as the text may use it to qualify columns.
-            text = re.sub(r"\{" + t + r"\}", view, text)
+            # Where the text gives no other name, the table's own one qualifies its columns.
+            text = re.sub(rf"\{{{t}\}}(?=(\s+(?:AS\s+)?(?!(?:{_AFTER_TABLES})\b)[A-Za-z_`])?)", lambda m: view if m[1] else f"{view} AS {t}", text, flags=re.I)  # noqa: B023
     return execute(spark, text)
 
 
@@ -73,12 +76,12 @@ def call(spark: SparkSession, sql: str, parameters: Sequence = ()) -> DataFrame
 def execute(spark: SparkSession, text: str) -> DataFrame:
     """Spark SQL with the dialect's types, and with ROW_NUMBER() OVER () and NEXT VALUE FOR: each block that has one is numbered in parallel, and read as a view."""
     from .operators.relational import numbered
-    from .typed import _plain, typed
+    from .typed import blanked, typed
 
     count = 0
-    while m := _NUMBERED.search(_plain(text)):
+    while m := _NUMBERED.search(blanked(text)):
         m = _NUMBERED.match(text, m.start())
-        plain, a, b, depth = _plain(text), 0, len(text), 0
+        plain, a, b, depth = blanked(text), 0, len(text), 0
         for k in range(m.start() - 1, -1, -1):
             depth += (plain[k] == ")") - (plain[k] == "(")
             if depth < 0:
@@ -102,7 +105,7 @@ def execute(spark: SparkSession, text: str) -> DataFrame:
             sequence[0] += step * out.count()
             out = out.withColumn(name, F.lit(start).cast("bigint") + F.lit(step) * (F.col(f"`{name}`") - 1))
         if (a, b) == (0, len(text)):
-            return out.orderBy(name) if re.search(r"\bORDER\s+BY\b", _plain(block), re.I) else out
+            return out.orderBy(name) if re.search(r"\bORDER\s+BY\b", blanked(block), re.I) else out
         count += 1
         view = f"millrace_numbered_{id(out):x}_{count}"
         out.createOrReplaceTempView(view)

@@ -26,6 +26,7 @@ DIALECT = {
     "current_values": ("SELECT CURRENT DATE = CURRENT_DATE AS d, CURRENT TIMESTAMP >= {ts '2020-01-01 00:00:00'} AS ts, char_length(CURRENT_TIME) AS t, {t '10:20:30'} AS given", "SELECT TRUE AS d, TRUE AS ts, 8 AS t, '10:20:30' AS given"),
     "limit_escape": ("SELECT o_orderkey FROM {orders} ORDER BY o_orderkey {limit 3 OFFSET 2}", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 3 OFFSET 2"),
     "qualified_star": ("SELECT n.*, r.r_name FROM {nation} n JOIN {region} AS r ON n.n_regionkey = r.r_regionkey", "SELECT n.*, r.r_name FROM {nation} n JOIN {region} AS r ON n.n_regionkey = r.r_regionkey"),
+    "names_of_tables": ("SELECT nation.n_name, region.r_name, o.n FROM {nation} JOIN {region} ON nation.n_regionkey = region.r_regionkey LEFT JOIN (SELECT customer.c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY customer.c_nationkey) AS o ON o.k = nation.n_nationkey", "SELECT nation.n_name, region.r_name, o.n FROM {nation} JOIN {region} ON nation.n_regionkey = region.r_regionkey LEFT JOIN (SELECT customer.c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY customer.c_nationkey) AS o ON o.k = nation.n_nationkey"),
     "is_unknown": ("SELECT v.id, (v.x > 3) IS UNKNOWN AS u, (v.x > 3) IS NOT UNKNOWN AS k, (v.x > 3) IS NOT FALSE AS nf FROM (VALUES (1, 5), (2, NULL), (3, 0)) AS v(id, x)", "SELECT v.id, (v.x > 3) IS NULL AS u, (v.x > 3) IS NOT NULL AS k, coalesce(v.x > 3, TRUE) AS nf FROM (VALUES (1, 5), (2, NULL), (3, 0)) AS v(id, x)"),
     "integer_division": ("SELECT p_partkey, p_size / 7 AS q, (0 - p_size) / 7 AS nq, p_partkey / p_size AS wide, p_size / 7.0e0 AS exact, MOD(p_size, 7) AS r FROM {part} WHERE p_size / 2 * 2 = p_size", "SELECT p_partkey, CAST(p_size // 7 AS INTEGER) AS q, CAST(-(p_size // 7) AS INTEGER) AS nq, CAST(p_partkey // p_size AS BIGINT) AS wide, p_size / 7.0e0 AS exact, p_size % 7 AS r FROM {part} WHERE p_size % 2 = 0"),
     "integer_avg": ("SELECT l_returnflag, AVG(l_linenumber) AS mean, AVG(DISTINCT l_linenumber) AS some, SUM(l_linenumber) AS total, AVG(l_partkey) / COUNT(DISTINCT l_linenumber) AS part, round(AVG(l_quantity), 4) AS exact FROM {lineitem} GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_linenumber) // count(l_linenumber) AS INTEGER) AS mean, CAST(sum(DISTINCT l_linenumber) // count(DISTINCT l_linenumber) AS INTEGER) AS some, CAST(sum(l_linenumber) AS INTEGER) AS total, CAST((sum(l_partkey) // count(l_partkey)) // count(DISTINCT l_linenumber) AS BIGINT) AS part, round(avg(l_quantity), 4) AS exact FROM {lineitem} GROUP BY l_returnflag"),
