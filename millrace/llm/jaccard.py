@@ -431,9 +431,9 @@ def _found(documents: DataFrame, doc_id: str, text: str, k: int, num: int, den:
     spark = documents.sparkSession
     source = pick(documents, doc_id=doc_id, text=text).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     common, size = common_shingles(source.select("text"), k, common_share)
-    # A bucket holds the lists of about 8 MB of text, a partition those of 128 MB: similar sets
+    # A bucket holds the lists of about 8 MB of text, a partition those of 64 MB: similar sets
     # meet once in each partition, so more partitions than needed would only repeat their links.
-    lists = max(8, size >> 27)
+    lists = max(8, size >> 26)
     buckets = max(8 * lists, size >> 23)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 27)
     sketched = source.mapInArrow(frugal(_sketch(k, num, den, buckets, common)), _OUT_DDL).repartition(lists, "bucket").sortWithinPartitions("bucket")
