@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import call, create_procedure, create_sequence, register_function, run_sql, table
+from ..database import Database
 from ..functions import aggregates, scalar
 from ..operators import dml, relational
 from ..sources import files, search
@@ -189,6 +190,17 @@ def _merge_clauses(spark, d):
     return dml.merge_into(orders, source, (F.col("t.o_orderkey") == F.col("s.k")) & (F.col("t.o_custkey") == F.col("s.c")), clauses)
 
 
+def _statements(spark, d):
+    """One statement after the other over named tables, then what is left."""
+    db = Database(spark, {"st_orders": table(spark, d, "orders"), "st_customer": table(spark, d, "customer")})
+    db.execute("CREATE TABLE st_half AS SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM st_orders WHERE MOD(o_orderkey, 2) = 0 WITH DATA")
+    db.execute("UPDATE st_half SET o_orderstatus = 'U', o_totalprice = o_totalprice * 2 WHERE o_custkey IN (SELECT c_custkey FROM st_customer WHERE c_acctbal < ?)", [0])
+    db.execute("DELETE FROM st_half h WHERE h.o_totalprice < 20000")
+    db.execute("INSERT INTO st_half (o_orderkey, o_custkey) SELECT o_orderkey + 100000000, o_custkey / 2 FROM st_orders WHERE MOD(o_orderkey, 100) = 1")
+    db.execute("MERGE INTO st_half h USING st_orders o ON h.o_orderkey = o.o_orderkey WHEN MATCHED AND h.o_orderstatus = 'F' THEN DELETE WHEN MATCHED AND h.o_orderstatus = 'P' THEN UPDATE SET o_custkey = -1 WHEN NOT MATCHED AND o.o_totalprice > 300000 THEN INSERT (o_orderkey, o_totalprice) VALUES (o.o_orderkey, o.o_totalprice)")
+    return db.execute("SELECT * FROM st_half")
+
+
 def _cascade_levels(spark, d):
     tables = {"customer": table(spark, d, "customer").select("c_custkey", "c_acctbal"), "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey"), "lineitem": table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")}
     references = [dml.Reference("orders", ("o_custkey",), "customer", ("c_custkey",), "cascade"), dml.Reference("lineitem", ("l_orderkey",), "orders", ("o_orderkey",), "cascade")]
@@ -306,6 +318,13 @@ FRAMES = {
     "delete_cascade": (_cascade, "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0)"),
     "delete_set_null": (_set_null, "SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0) THEN o_custkey END AS o_custkey FROM {orders}"),
     "merge": (_merge, "SELECT n_nationkey, CASE WHEN n_nationkey BETWEEN 10 AND 14 THEN n_name || '*' ELSE n_name END AS n_name, n_regionkey FROM {nation} WHERE n_nationkey NOT IN (12, 20)"),
+    "statements": (_statements, """
+        WITH half AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0) THEN 'U' ELSE o_orderstatus END AS o_orderstatus,
+                             CASE WHEN o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0) THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM {orders} WHERE o_orderkey % 2 = 0),
+        kept AS (SELECT * FROM half WHERE o_totalprice >= 20000)
+        SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -1 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM kept WHERE o_orderstatus <> 'F'
+        UNION ALL SELECT o_orderkey + 100000000, o_custkey // 2, NULL, NULL FROM {orders} WHERE o_orderkey % 100 = 1
+        UNION ALL SELECT o_orderkey, NULL, NULL, o_totalprice FROM {orders} WHERE o_totalprice > 300000 AND o_orderkey NOT IN (SELECT o_orderkey FROM kept)"""),
     "merge_clauses": (_merge_clauses, """
         WITH s AS (SELECT o_orderkey + CASE WHEN o_custkey % 10 = 0 THEN 100000000 ELSE 0 END AS k, o_custkey AS c, o_totalprice / 2 AS p FROM {orders} WHERE o_orderkey % 3 = 0)
         SELECT o_orderkey, CASE WHEN k IS NOT NULL AND o_orderstatus = 'O' THEN c + 1 ELSE o_custkey END AS o_custkey, CASE WHEN k IS NOT NULL AND o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
