@@ -41,13 +41,13 @@ def found(docs, items, **options):
     return sorted((tuple(r) for r in out.collect()), key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 300])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("index_bytes", [16 << 20, 300])
+def test_against_brute_force(spark, index_bytes):
     rng = random.Random(8)
     word = lambda: rng.choice(("a", "b", "c", "d1", "É"))
     items = [(i, " ".join(word() for _ in range(rng.choice((1, 2, 5, 14, 20))))) for i in range(3, 15)] + [(15, None), (16, "..."), (17, "b " * 13)]
     docs = TEXTS + [(100 + i, ", ".join([word() for _ in range(20)] + items[i % 12][1].split(" ") + [word() for _ in range(9)])) for i in range(60)]
-    assert found(documents(spark, docs), spark.createDataFrame(items, ITEMS), block_bytes=block_bytes) == brute(docs, items)
+    assert found(documents(spark, docs), spark.createDataFrame(items, ITEMS), index_bytes=index_bytes) == brute(docs, items)
 
 
 def test_only_contaminated_documents_go(spark):
@@ -57,3 +57,13 @@ def test_only_contaminated_documents_go(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()) == [2, 3, 4]
     assert decontaminate.decontaminate(empty(spark), items).columns == docs.columns
     assert decontaminate.decontaminate(docs, items.limit(0)).count() == 4
+    # The same by joins of tables.
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, items, index_bytes=0).collect()) == [2, 3, 4]
+    assert decontaminate.decontaminate(docs, items, index_bytes=0).columns == docs.columns
+    assert decontaminate.decontaminate(empty(spark), items, index_bytes=0).count() == 0
+
+
+def test_both_ways_agree_on_the_tables(spark):
+    d = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(d + "/documents.parquet"), spark.read.parquet(d + "/benchmark.parquet")
+    assert found(docs, items) == found(docs, items, index_bytes=0)
