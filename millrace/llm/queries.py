@@ -63,7 +63,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all URLs.  Null URLs and those without :// have empty host and path."""
     from . import urls
 
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,39 @@ for _name, _character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&"))
     # Without its semicolon such a reference is one too.
     _BLOCKS = f"list_transform({_BLOCKS}, lambda b: regexp_replace(b, '&{_name};?', '{_character}', 'g'))"
 
+_REST = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_SEEDS = "['spam', 'casino', 'pills', 'bets', 'ads', 'adult', 'porn', 'viagra', 'betting', 'lottery', 'warez']"
+# Shares of strings of k characters in both classes: interpolated with those of the string without its first character.
+_SHARES = ", ".join(
+    f"""s{k} AS (
+        SELECT c.s, c.a, c.r, (c.a + t.ka * {"x.base" if k == 1 else "b.pa"}) / (t.na + t.ka) AS pa, (c.r + t.kr * {"x.base" if k == 1 else "b.pr"}) / (t.nr + t.kr) AS pr,
+               t.na, t.nr, t.ka, t.kr{"" if k == 1 else ", b.pa AS ba, b.pr AS br"}
+        FROM kept c JOIN after t ON t.s = substr(c.s, 1, {k - 1}) {"CROSS JOIN (SELECT 1.0e0 / (greatest(2, count(*)) + 1) AS base FROM kept WHERE length(s) = 1) x" if k == 1 else f"JOIN s{k - 1} b ON b.s = substr(c.s, 2)"} WHERE length(c.s) = {k})"""
+    for k in range(1, 6)
+)
+_ADDED = " UNION ALL ".join("SELECT s, ln(pa) - ln(pr)" + ("" if k == 1 else " - (ln(ba) - ln(br)) - (ln(ka / (na + ka)) - ln(kr / (nr + kr)))") + f" AS always FROM s{k}" for k in range(1, 6))
+
 SQL: dict[str, str] = {
+    "op10_urls": f"""
+        WITH p AS (SELECT row_number() OVER () AS rid, page_id, {_REST} AS rest FROM pages),
+        h AS (SELECT rid, page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        u AS (SELECT *, host || path AS u, CASE WHEN list_has_any(regexp_split_to_array(host, '[._-]'), {_SEEDS}) THEN 1 ELSE 0 END AS rejected, md5(host)[1] IN ('0', '1', '2') AS apart FROM h),
+        places AS (SELECT rid, rejected, apart, substr(u, i, k) AS s, i + k <= length(u) AS more FROM (SELECT *, unnest(range(1, length(u) - k + 2)) AS i FROM u, range(1, 6) AS r(k) WHERE length(u) >= k)),
+        size AS (SELECT greatest(2, ceil(1e-5 * coalesce(sum(length(u)) FILTER (WHERE rejected = 0), 0))) AS a, greatest(2, ceil(1e-5 * coalesce(sum(length(u)) FILTER (WHERE rejected = 1), 0))) AS r FROM u WHERE NOT apart),
+        kept AS (SELECT s, CAST(sum(1 - rejected) AS DOUBLE) AS a, CAST(sum(rejected) AS DOUBLE) AS r FROM places WHERE NOT apart GROUP BY s HAVING sum(1 - rejected) >= (SELECT a FROM size) OR sum(rejected) >= (SELECT r FROM size)),
+        after AS (SELECT substr(s, 1, length(s) - 1) AS s, sum(a) AS na, sum(r) AS nr, greatest(1, count(*) FILTER (WHERE a > 0)) AS ka, greatest(1, count(*) FILTER (WHERE r > 0)) AS kr FROM kept GROUP BY 1),
+        {_SHARES},
+        added AS ({_ADDED}),
+        entries AS (SELECT added.s, always, CASE WHEN length(added.s) <= 4 AND after.s IS NOT NULL THEN ln(ka / (na + ka)) - ln(kr / (nr + kr)) ELSE 0 END AS follows FROM added LEFT JOIN after USING (s)),
+        sums AS (SELECT rid, sum(always + CASE WHEN more THEN follows ELSE 0 END) AS x FROM places JOIN entries USING (s) GROUP BY rid),
+        scored AS (SELECT u.*, coalesce(x, 0) / greatest(1, length(u)) AS score FROM u LEFT JOIN sums USING (rid)),
+        cells AS (SELECT CAST(floor(score * 100) AS INTEGER) AS cell, sum(1 - rejected) AS a, sum(rejected) AS r FROM scored WHERE apart OR (SELECT count(DISTINCT rejected) < 2 FROM u WHERE apart) GROUP BY 1),
+        steps AS (SELECT cell, lead(cell) OVER (ORDER BY cell) AS next, (sum(r) OVER (ORDER BY cell)) / (sum(r) OVER ()) + 1 - (sum(a) OVER (ORDER BY cell)) / (sum(a) OVER ()) AS value
+                  FROM cells QUALIFY (sum(a) OVER (ORDER BY cell)) <= 0.01 * (sum(a) OVER ())),
+        best AS (SELECT ((cell + 1) / 100 + coalesce(next / 100, (cell + 1) / 100)) / 2 AS least FROM steps WHERE value > (SELECT max(value) FROM steps) - 1e-12 ORDER BY cell LIMIT 1),
+        rules AS (SELECT * FROM (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) AS t(own, start, name, verdict)),
+        fit AS (SELECT rid, arg_max(name, length(name)) AS rule, arg_max(verdict, length(name)) AS verdict FROM u JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start) GROUP BY rid)
+        SELECT page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN score < (SELECT least FROM best) THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) AS score FROM scored LEFT JOIN fit USING (rid)""",
     "op2_jaccard": f"""
         WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {_BLANK_WORDS} AS w FROM documents),
         s AS (SELECT DISTINCT r, sh FROM (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS sh FROM w)),
