@@ -25,8 +25,8 @@ Inside a group answers are derived from each other: the vector of a leader's
 overlaps with all sets is computed from the inverted lists; a similar set's
 vector is the leader's, corrected by the lists of the shingles in which the two
 differ.  Every pair of a group is thus decided exactly, without listing pairs.  A
-group larger than `block_shingles` is cut into blocks, and each pair of blocks is
-a task of its own.
+group of many sets or shingles is cut into blocks, and each pair of blocks is a
+task of its own.
 
 Defined results: a text without words, empty or null, has no shingles, links
 with nothing and is its own component; repeated rows link like other equal sets;
@@ -51,6 +51,7 @@ from ..operators.materialize import discard, materialize
 from .words import BLANKS, mix, shingles, words
 
 _PART = 1 << 16
+_BLOCK_SETS, _MOST_BLOCKS = 256, 16
 #: An entry of a list: list key (48 bits), parities (32), the set's number in its run (16).
 _ENTRY = 12
 
@@ -445,7 +446,10 @@ def _found(documents: DataFrame, doc_id: str, text: str, k: int, num: int, den:
     classes = materialize(reps.join(copies, reps["rid"] == copies["rep"]).groupBy("cid").agg(F.sum("copies").alias("copies"), F.min("least").alias("least"), F.max(F.when(F.col("rid") == F.col("cid"), F.struct("doc_id", "th", "n"))).alias("at")), "jaccard-classes")
     labels = components(met.filter("n is null").select(F.col("rid").alias("a"), F.col("rep").alias("b")).union(reps.filter("rid <> cid").select("rid", "cid")))
     member = materialize(classes.join(labels, classes["cid"] == labels["node"]).select(F.col("label").alias("g"), "cid", "copies", "at.*"), "jaccard-members")
-    large = member.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("total")).filter("size > 1").select("g", F.ceil(F.col("total") / block_shingles).cast("int").alias("q"))
+    large = member.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("total")).filter("size > 1")
+    # Large groups also of short texts go to many tasks: blocks of _BLOCK_SETS sets, as far as that makes _MOST_BLOCKS; beyond, by shingles.
+    by_sets = F.least(F.lit(_MOST_BLOCKS), F.ceil(F.col("size") / _BLOCK_SETS))
+    large = large.select("g", F.greatest(F.ceil(F.col("total") / block_shingles), by_sets).cast("int").alias("q"))
     tasks = member.join(large, "g").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("q")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     tasks = tasks.select("g", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cid", "block", "copies", "doc_id", "th")
     # Merged at every size: the members grow with the documents, so they are never broadcast.
